@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filter
+from . import decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, sampling, url_filter
 from .sql import ORACLES
 
+#: The vocabulary file of the packing query.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The vocabulary file of the language query.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: The rule list of the url query: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -20,6 +25,16 @@ URL_RULES = [
 ]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return language_id.identify(docs, vocabulary=PIECES, per_language=300)
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
@@ -32,7 +47,31 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = decontaminate.benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer=TOKENIZER, length=4096, separator=1)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(sampling.id_remainder(F.col("doc_id"), 5) != 0)
+    rules = quality_rules.fit_rules(labels.select("doc_id", F.col("quality").alias("label")), docs, per_label=3000)
+    found = quality_rules.judge_quality(docs, rules)
+    return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_ngram_join": op3_ngram_join,
     "op4_url_filter": op4_url_filter,
     "op5_line_dedup": op5_line_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
 }

@@ -39,7 +39,40 @@ FROM keyed LEFT JOIN common ON keyed.key = common.key
 GROUP BY k, doc_id
 """
 
+DECONTAMINATION = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS k, doc_id,
+           coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+    FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+), starts AS (
+    SELECT item_id, words, least(10, len(words)) AS size, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS pos
+    FROM items WHERE len(words) > 0
+), windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(words[pos : pos + size - 1], ' ') AS run FROM starts
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), places AS (
+    SELECT k, size, words, unnest(range(1, len(words) - size + 2)) AS pos FROM docs JOIN sizes ON len(words) >= size
+), runs AS (
+    SELECT k, size, pos, array_to_string(words[pos : pos + size - 1], ' ') AS run FROM places
+), found AS (
+    SELECT k, pos, size, item_id FROM runs JOIN windows USING (size, run)
+), hit AS (
+    SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY k
+), named AS (
+    SELECT k, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+    FROM found GROUP BY k
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_url_filter": URL_FILTER,
     "op5_line_dedup": LINE_DEDUP,
+    "op7_benchmark_decontamination": DECONTAMINATION,
 }

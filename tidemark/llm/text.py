@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark.sql import DataFrame, types as T
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, and makes the rest a space.
 WORD_TABLE = bytes(
@@ -72,3 +73,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
         for low, high in zip(edges, edges[1:]):
             yield batch.slice(low, high - low)
+
+
+def with_columns(docs: DataFrame, added: str, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+    """`docs` with Python-made columns appended, or replaced where it has such names already.
+
+    `start` runs once a task and returns a function from a batch (which holds
+    `text`) to the added columns. The other columns pass through as Arrow buffers.
+    """
+    new = T.StructType.fromDDL(added)
+    own = [f for f in docs.schema.fields if f.name not in new.names]
+    names, kept = [f.name for f in own] + new.names, [f.name for f in own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *make(batch)], names)
+
+    return docs.mapInArrow(run, T.StructType([*own, *new.fields]))
