@@ -1,0 +1 @@
+"""Listings that arrive over time: the same operators over Structured Streaming sources."""
