@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.policies import Options, Policy
 
@@ -127,17 +128,17 @@ def native_key(component: Column, rule: str) -> Column:
     return F.translate(component, UPPER, LOWER)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s.casefold()), na_action="ignore")
 

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names
 from ..plans.policies import Policy
@@ -33,7 +34,7 @@ def keyed_objects(found: DataFrame, target: Policy) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def group_id(rule: pd.Series, key: pd.Series, entry_ids: pd.Series, node_ids: pd.Series) -> pd.Series:
     rows = zip(rule, key, entry_ids, node_ids)
     return pd.Series(["g" + hashlib.sha256(canonical([r, k, list(e), list(n)]).encode()).hexdigest() for r, k, e, n in rows])
