@@ -26,6 +26,8 @@ from . import groups
 from .store import Table
 from .text import slices
 
+#: Turns of the local search in a group.
+TURNS = 64
 #: Pieces in a group, on average.
 GROUP_PIECES = 50_000
 _CACHE_ENTRIES = 1 << 19
@@ -126,68 +128,108 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_change(giver: np.ndarray, taker: np.ndarray, room: int, gap: int) -> tuple[int, list[int], list[int]] | None:
-    """The change that fills the taker most: (gain, items it gets, items it gives back).
+def _twice(sizes: list[int]) -> np.ndarray:
+    """The sizes in order, each at most twice: no change uses more of one."""
+    values, counts = np.unique(sizes, return_counts=True)
+    return np.repeat(values, np.minimum(counts, 2))
 
-    The gain is at most `room` and more than `gap`, the giver's fill less the
-    taker's, so that the sum of squared fills rises.
+
+def _largest_pairs(ordered: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bound and each element, the other element that brings their sum nearest to the bound from below (-1 if none does)."""
+    other = np.searchsorted(ordered, most[:, None] - ordered[None, :], side="right") - 1
+    other = np.where(other == np.arange(len(ordered)), other - 1, other)
+    return np.where(other >= 0, ordered[other] + ordered, -1), other
+
+
+def _best_change(giver: np.ndarray, taker: np.ndarray, room: int, gap: int) -> tuple[list[int], list[int]] | None:
+    """The change that fills the taker most: sizes it gets and sizes it gives back.
+
+    Its gain is at most `room` and more than `gap`, the giver's fill less the
+    taker's, so that the sum of squared fills rises. Both sides are in order.
     """
-    best: tuple[int, list[int], list[int]] | None = None
-
-    def offer(gain: np.ndarray, change) -> None:
-        nonlocal best
-        gain = np.where((gain <= room) & (gain > max(0, gap)), gain, 0)
-        if gain.size and gain.max() > (best[0] if best else 0):
-            at = np.unravel_index(int(gain.argmax()), gain.shape)
-            best = (int(gain.max()), *change(at))
-
-    offer(giver, lambda at: ([int(at[0])], []))  # a move
-    if best and best[0] == room:
-        return best
-    offer(giver[:, None] - taker[None, :], lambda at: ([int(at[0])], [int(at[1])]))  # one for one
-    if best and best[0] == room:
-        return best
-    first, second = np.triu_indices(len(giver), 1)
-    for low in range(0, len(first), 1 << 14):  # two for one
-        a, b = first[low : low + (1 << 14)], second[low : low + (1 << 14)]
-        offer((giver[a] + giver[b])[:, None] - taker[None, :], lambda at: ([int(a[at[0]]), int(b[at[0]])], [int(at[1])]))
-        if best and best[0] == room:
-            break
-    return best
-
-
-def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Local search over the bins that are not full: the emptiest gives to fuller ones while squared fill rises."""
-    fill = [sum(sizes[k] for k in b) for b in bins]
-    full = [b for b, f in zip(bins, fill) if f == capacity]
-    open_bins = [b for b, f in zip(bins, fill) if f < capacity]
-    least = lambda: -(-sum(sizes[k] for b in open_bins for k in b) // capacity)
-    tried: set[int] = set()
-    while len(open_bins) > least():
-        open_bins.sort(key=lambda b: sum(sizes[k] for k in b))
-        giver = next((b for b in open_bins if id(b) not in tried), None)
-        if giver is None:
+    best, change = max(0, gap), None
+    at = int(np.searchsorted(giver, room, side="right")) - 1  # a move
+    if at >= 0 and giver[at] > best:
+        best, change = int(giver[at]), ([int(giver[at])], [])
+    if best < room:  # one for one
+        place = np.searchsorted(giver, taker + room, side="right") - 1
+        gain = np.where(place >= 0, giver[place] - taker, -1)
+        k = int(gain.argmax())
+        if gain[k] > best:
+            best, change = int(gain[k]), ([int(giver[place[k]])], [int(taker[k])])
+    if best < room and len(giver) > 1:  # two for one
+        sums, other = _largest_pairs(giver, taker + room)
+        gain = np.where(sums >= 0, sums - taker[:, None], -1)
+        row, k = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[row, k] > best:
+            best, change = int(gain[row, k]), ([int(giver[k]), int(giver[other[row, k]])], [int(taker[row])])
+    return change
+
+
+class _Bin:
+    """Items of a bin by size, so that a change can name sizes only."""
+
+    def __init__(self, items: list[int], sizes: list[int]):
+        self.by_size: dict[int, list[int]] = {}
+        self.fill = 0
+        for k in items:
+            self.put(k, sizes[k])
+        self.ordered: np.ndarray | None = None
+
+    def put(self, item: int, size: int) -> None:
+        self.by_size.setdefault(size, []).append(item)
+        self.fill += size
+        self.ordered = None
+
+    def take(self, size: int) -> int:
+        item = self.by_size[size].pop()
+        if not self.by_size[size]:
+            del self.by_size[size]
+        self.fill -= size
+        self.ordered = None
+        return item
+
+    def sizes(self) -> np.ndarray:
+        if self.ordered is None:
+            self.ordered = _twice([s for s, items in self.by_size.items() for _ in items[:2]])
+        return self.ordered
+
+    def items(self) -> list[int]:
+        return [k for size in sorted(self.by_size, reverse=True) for k in self.by_size[size]]
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int, turns: int = TURNS) -> list[list[int]]:
+    """Local search over the bins that are not full: the emptiest gives to fuller ones while squared fill rises.
+
+    It ends when no fewer bins could hold all, when no bin has a change left to give, or after
+    a number of turns that bounds its time; a turn offers one bin's items to all others.
+    """
+    fills = [sum(sizes[k] for k in b) for b in bins]
+    done = [b for b, fill in zip(bins, fills) if fill == capacity]
+    left = sorted((_Bin(b, sizes) for b, fill in zip(bins, fills) if fill < capacity), key=lambda b: b.fill)
+    least = -(-sum(b.fill for b in left) // capacity)  # full bins that leave `left` lower both sides of the test alike
+    stuck = 0
+    for _ in range(turns):
+        if len(left) <= least or stuck >= len(left):
             break
-        changed = False
-        for taker in reversed(open_bins):
-            if taker is giver or not giver:
+        giver, changed = left[stuck], False
+        for taker in reversed(left):
+            if taker is giver or not giver.by_size:
                 continue
-            room = capacity - sum(sizes[k] for k in taker)
-            change = _best_change(np.array([sizes[k] for k in giver]), np.array([sizes[k] for k in taker]), room, sum(sizes[k] for k in giver) - (capacity - room))
+            change = _best_change(giver.sizes(), taker.sizes(), capacity - taker.fill, giver.fill - taker.fill)
             if change:
-                _, given, returned = change
-                gets, back = [giver[k] for k in given], [taker[k] for k in returned]
-                giver[:] = [k for k in giver if k not in gets] + back
-                taker[:] = [k for k in taker if k not in back] + gets
+                gets, returns = [(giver.take(s), s) for s in change[0]], [(taker.take(s), s) for s in change[1]]
+                for item, size in gets:
+                    taker.put(item, size)
+                for item, size in returns:
+                    giver.put(item, size)
                 changed = True
-        open_bins = [b for b in open_bins if b]
-        full += [b for b in open_bins if sum(sizes[k] for k in b) == capacity]
-        open_bins = [b for b in open_bins if sum(sizes[k] for k in b) < capacity]
-        if changed:
-            tried.clear()
-        else:
-            tried.add(id(giver))
-    return full + open_bins
+        stuck = 0 if changed else stuck + 1
+        full = [b for b in left if b.fill == capacity]
+        done += [b.items() for b in full]
+        least -= len(full)
+        left = sorted((b for b in left if 0 < b.fill < capacity), key=lambda b: b.fill)
+    return done + [b.items() for b in left]
 
 
 def _pack(batches: Iterator[pa.RecordBatch], *, length: int, turn: int) -> Iterator[pa.RecordBatch]:
