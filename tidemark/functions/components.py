@@ -12,7 +12,7 @@ from . import names
 _ILLEGAL = re.compile(names.ILLEGAL)
 _PORT = re.compile(names.DEVICE_PORT)
 _FOLD = str.maketrans(names.UPPER, names.LOWER)
-_BIDI = re.compile("[؜‎‏‪-‮⁦-⁩]")
+_BIDI = re.compile("[\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 _KEY = {

@@ -22,7 +22,7 @@ ADVISORY = ["PATH_ROOT_UNKNOWN", "ENCODING_AMBIGUOUS", "UNKNOWN_CREATE_SYSTEM",
 DEVICES = ["CON", "PRN", "AUX", "NUL", "CONIN$", "CONOUT$"]
 DEVICE_PORT = "^(COM|LPT)[1-9¹²³]$"
 ILLEGAL = r'[<>:"/\\|?*\x00-\x1f]'
-_BIDI = "[؜‎‏‪-‮⁦-⁩]"
+_BIDI = "[\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]"
 
 
 def codes(*tests: tuple[str, Column]) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..plans.policies import Options, Policy, ScanLimits
+from ..shared import Table
 from . import collisions, tree
 
 KEY = ["archive", "entry_id"]
@@ -113,11 +114,11 @@ class Report:
 
 def inspect(archives: DataFrame, entries: DataFrame, target: Policy, options: Options, choices: DataFrame | None = None, limits: ScanLimits = ScanLimits()) -> Report:
     """The report of every archive. `archives` has archive, archive_id, state and scan_diagnostics (array of structs with code)."""
-    reports = entry_reports(entries, target, options, choices, limits)
-    directories = tree.with_node_ids(tree.logical_directories(reports), reports)
+    reports = Table(entry_reports(entries, target, options, choices, limits), "reports").df
+    directories = Table(tree.with_node_ids(tree.logical_directories(reports), reports), "directories").df
     found = collisions.objects(reports, directories)
     groups = collisions.within_budget(collisions.collision_groups(found, target), found, target, limits.group_members)
-    groups = groups.withColumn("group_id", collisions.group_id("rule", "key", "entry_ids", "node_ids")).withColumn("comparison_key", F.col("key"))
+    groups = Table(groups, "groups").df.withColumn("group_id", collisions.group_id("rule", "key", "entry_ids", "node_ids")).withColumn("comparison_key", F.col("key"))
     coded = diagnostics(reports)
     per = lambda df, *aggs: df.groupBy("archive").agg(*aggs)
     counts = (

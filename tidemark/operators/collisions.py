@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import names
 from ..plans.policies import Policy
+from ..shared import Table
 from .tree import canonical, prefixes
 
 
@@ -37,7 +38,7 @@ def keyed_objects(found: DataFrame, target: Policy) -> DataFrame:
 @F.pandas_udf(T.StringType())
 def group_id(rule: pd.Series, key: pd.Series, entry_ids: pd.Series, node_ids: pd.Series) -> pd.Series:
     rows = zip(rule, key, entry_ids, node_ids)
-    return pd.Series(["g" + hashlib.sha256(canonical([r, k, list(e), list(n)]).encode()).hexdigest() for r, k, e, n in rows])
+    return pd.Series(["g" + hashlib.sha256(canonical([r, k, list(e), list(n)]).encode()).hexdigest() for r, k, e, n in rows], dtype=object)
 
 
 def collision_groups(found: DataFrame, target: Policy) -> DataFrame:
@@ -83,8 +84,11 @@ def within_budget(groups: DataFrame, found: DataFrame, target: Policy, limit: in
     first appearances before earlier ones. Archives within the limit, as good as all, skip the ordering.
     """
     size = F.size("entry_ids") + F.size("node_ids")
+    groups = Table(groups, "all-groups").df
     totals = groups.groupBy("archive").agg(F.sum(size).alias("members"))
-    over = totals.where(F.col("members") > limit).select("archive")
+    over = Table(totals.where(F.col("members") > limit).select("archive"), "over").df
+    if not over.limit(1).count():
+        return groups.withColumn("exceeded", F.lit(False))
     simple = groups.join(over, "archive", "left_anti").withColumn("exceeded", F.lit(False))
     numbered = found.join(over, "archive", "left_semi").withColumn(
         "ordinal", F.row_number().over(Window.partitionBy("archive").orderBy(F.col("kind") == "file", F.when(F.col("kind") == "directory", F.col("parts")), "index"))

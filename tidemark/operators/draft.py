@@ -125,7 +125,7 @@ def records(frame: pd.DataFrame) -> list[dict]:
 
 def _draft(archive: tuple, entries: pd.DataFrame, directories: pd.DataFrame, *, target: Policy, options: Options) -> pd.DataFrame:
     rows = [(archive[0], *row) for row in draft_archive(records(entries), records(directories), target, options)]
-    return pd.DataFrame(rows, columns=[part.split()[0] for part in ROW.split(", ")])
+    return pd.DataFrame(rows, columns=[part.split()[0] for part in ROW.split(", ")], dtype=object)
 
 
 def suggest_plans(entries: DataFrame, directories: DataFrame, target: Policy, options: Options) -> DataFrame:

@@ -67,10 +67,10 @@ def _identify(entries: pd.DataFrame, directories: pd.DataFrame) -> pd.DataFrame:
         state = shared.copy()
         state.update(f',"ownerIndex":{int(owner)},"sourceParts":{canonical(list(parts))}}}'.encode())
         ids[tuple(parts)] = "d" + state.hexdigest()
-    directories = directories.copy()
-    directories["node_id"] = [ids[tuple(p)] for p in directories.parts]
-    directories["parent_id"] = [ids.get(tuple(p)[:-1]) for p in directories.parts]
-    return directories
+    directories = directories.astype(object)  # pandas' own string arrays may come in chunks, which Spark does not take
+    nodes = pd.Series([ids[tuple(p)] for p in directories.parts], index=directories.index, dtype=object)
+    parents = pd.Series([ids.get(tuple(p)[:-1]) for p in directories.parts], index=directories.index, dtype=object)
+    return directories.assign(node_id=nodes, parent_id=parents)
 
 
 def with_node_ids(directories: DataFrame, entries: DataFrame) -> DataFrame:

@@ -263,7 +263,7 @@ def _validate(key: tuple, plan: pd.DataFrame, report: pd.DataFrame, *, target: P
     )
     error = validate_case(case)
     done = (plan_id(case), None, case.extractable, case.resolved, case.diagnostics, case.advisories) if error is None else (None, error, False, {}, [], [])
-    return pd.DataFrame([(key[0], *done)], columns=[part.split(" ")[0] for part in ROW.split(", ")])
+    return pd.DataFrame([(key[0], *done)], columns=[part.split(" ")[0] for part in ROW.split(", ")], dtype=object)
 
 
 def validate_plans(summary: DataFrame, entries: DataFrame, directories: DataFrame, decisions: DataFrame, mappings: DataFrame, target: Policy, options: Options, limits: ScanLimits = ScanLimits()) -> DataFrame:

@@ -92,7 +92,7 @@ SELECT entry_id, array_to_string(list_filter([CASE WHEN t = '' THEN 'EMPTY_NAME'
 def path_evidence_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, k = F.col("name"), F.col("index") % 8
     made = F.when(k == 0, name).when(k == 1, F.concat(F.lit("/"), name)).when(k == 2, F.translate(name, "/", "\\")).when(k == 3, F.concat(F.lit("../"), name)).when(k == 4, F.concat(F.lit("C:"), name))
-    made = made.when(k == 5, F.concat(name, F.lit("\x01"))).when(k == 6, F.concat(name, F.lit("‮"))).otherwise("")
+    made = made.when(k == 5, F.concat(name, F.lit("\x01"))).when(k == 6, F.concat(name, F.lit("\u202e"))).otherwise("")
     return url_listing(spark, sf_dir).select("entry_id", F.array_join(names.path_evidence(made), ",").alias("codes"))
 
 
@@ -149,7 +149,7 @@ def comparison_keys_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, nfc_normalize(replace(substr(text, 1, 80), 'é', 'e' || chr(769))) AS key FROM documents")
 def comparison_key_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.replace(F.left("text", F.lit(80)), F.lit("é"), F.lit("é"))
+    name = F.replace(F.left("text", F.lit(80)), F.lit("\u00e9"), F.lit("e\u0301"))
     return names.comparison_path(table(spark, sf_dir, "documents").select("doc_id", F.array(name).alias("parts")), "parts", "nfc").select("doc_id", "key")
 
 

@@ -182,7 +182,7 @@ def extract(contents: DataFrame, plans: DataFrame, entries: DataFrame, output: s
                 else:
                     with os.fdopen(os.open(job.archive, os.O_RDONLY | os.O_NOFOLLOW), "rb") as stream:
                         result = extract_archive(Ranged(stream, os.fstat(stream.fileno()).st_size), plan, job.accept_plan_id, final, limits)
-                yield pd.DataFrame([{"archive": job.archive, "plan_id": job.plan_id, **result}])
+                yield pd.DataFrame([{"archive": job.archive, "plan_id": job.plan_id, **result}], dtype=object)
 
     columns = ["archive", "content", "archive_id", "plan_id", "accept_plan_id", "extractable", "resolved", "kinds"]
     return jobs.select(*columns).mapInPandas(run, ROW)
