@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +41,22 @@ def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("archive"), F.format_string("e%06d", "doc_id").alias("entry_id"), F.col("doc_id").alias("index"),
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit("file").alias("entry_type"), "text",
     ).withColumn("parts", F.split("name", "/", -1))
+
+
+def zip_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ZIP archives made of `documents`, one per source and bucket of ids: (archive, content). Built in tasks, so the table grows with its input."""
+    import pandas as pd
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for doc_id, lang, text in sorted(zip(frame.doc_id, frame.lang, frame.text), key=lambda row: row[0]):
+                # A few hostile or clashing names among the plain ones.
+                name = {0: f"{lang}/{doc_id}.TXT.", 1: f"{lang}/con.{doc_id}", 2: f"{lang.upper()}/{doc_id}.txt"}.get(doc_id % 17, f"{lang}/{doc_id}.txt")
+                info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+                info.compress_type = zipfile.ZIP_STORED if doc_id % 5 == 0 else zipfile.ZIP_DEFLATED
+                archive.writestr(info, (text or "").encode())
+        return pd.DataFrame({"archive": [frame.archive.iloc[0]], "content": [out.getvalue()]}, dtype=object)
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.concat("source", F.lit("-"), F.pmod(F.col("doc_id"), F.lit(8)).cast("string"), F.lit(".zip")).alias("archive"))
+    return docs.groupBy("archive").applyInPandas(build, "archive string, content binary")

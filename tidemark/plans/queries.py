@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import Preflight
 from ..functions import names
-from ..operators import analysis, collisions, relations, targets, tree
-from .listings import document_listing, part_listing, table, url_listing
+from ..operators import analysis, collisions, draft, relations, targets, tree
+from ..shared import Table
+from ..sources import archives, content
+from ..sources.decoding import decode_candidates
+from .listings import document_listing, part_listing, table, url_listing, zip_contents
 from .policies import LINUX, WINDOWS, Options
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,3 +317,61 @@ def clean_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("index")
     made = F.when(k % 5 == 0, F.concat(F.lit("a:"), "name")).when(k % 13 == 0, "con").when(k % 17 == 0, "...").otherwise(F.element_at("parts", -1))
     return part_listing(spark, sf_dir).select("entry_id", names.clean_component(made, WINDOWS)["name"].alias("cleaned"))
+
+
+def _flight(spark: SparkSession, sf_dir: str) -> Preflight:
+    contents = Table(zip_contents(spark, sf_dir), "zips").df
+    return Preflight.of_contents(contents, "windows", Options(root_units=20))
+
+
+@query("""SELECT source || '-' || doc_id % 8 || '.zip' AS archive, 'ok' AS state, count(*) AS n_entries, sum(strlen(text))::BIGINT AS declared_bytes FROM documents GROUP BY 1""")
+def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = archives.scan_contents(zip_contents(spark, sf_dir))
+    declared = F.aggregate("entries", F.lit(0).cast("long"), lambda total, e: total + e["declared_bytes"].cast("long"))
+    return scans.select("archive", "state", F.size("entries").cast("long").alias("n_entries"), declared.alias("declared_bytes"))
+
+
+@query()
+def candidate_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.left("text", F.lit(24)), "UTF-8").alias("raw"))
+    read = raw.withColumn("c", decode_candidates("raw", F.lit(b""), F.when(F.col("doc_id") % 3 == 0, 0x800).otherwise(0)))
+    return read.select("doc_id", F.size("c").cast("long").alias("n_readings"), F.array_join(F.transform("c", lambda c: c["source"]), ",").alias("sources"), F.get("c", F.lit(0))["candidate_id"].alias("first_id"))
+
+
+_ENTRY_NAME = "CASE doc_id % 17 WHEN 0 THEN lang || '/' || doc_id || '.TXT.' WHEN 1 THEN lang || '/con.' || doc_id WHEN 2 THEN upper(lang) || '/' || doc_id || '.txt' ELSE lang || '/' || doc_id || '.txt' END"
+
+
+@query(f"""SELECT source || '-' || doc_id % 8 || '.zip' AS archive, {_ENTRY_NAME} AS display_name, 'unambiguous' AS name_state, 'file' AS entry_type,
+CASE doc_id % 17 WHEN 0 THEN 'WINDOWS_TRAILING_DOT_SPACE' WHEN 1 THEN 'WINDOWS_DEVICE_NAME' ELSE '' END AS name_codes FROM documents""")
+def entry_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flight = _flight(spark, sf_dir)
+    found = analysis.entry_reports(flight.entries, WINDOWS, flight.options)
+    name_codes = F.array_join(F.array_except("codes", F.array(F.lit("DECLARED_RATIO_RISK"))), ",")
+    return found.select("archive", "display_name", "name_state", "entry_type", name_codes.alias("name_codes"))
+
+
+@query()
+def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = _flight(spark, sf_dir).inspect().summary
+    findings = F.col("state") != "ok"
+    return summary.withColumn("exit_code", analysis.scan_exit(F.col("complete"), F.col("state"), findings))
+
+
+@query()
+def draft_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draft.decisions(_flight(spark, sf_dir).draft())
+
+
+@query()
+def validate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flight = _flight(spark, sf_dir)
+    decisions, mappings = (Table(df, "plan").df for df in flight.drafted_plan())
+    found = flight.validate(decisions, mappings)
+    return found.select("archive", "plan_id", "error", "extractable", F.size("resolved").cast("long").alias("n_resolved"))
+
+
+@query("""SELECT source || '-' || doc_id % 8 || '.zip' AS archive, 'e' || lpad((row_number() OVER (PARTITION BY source, doc_id % 8 ORDER BY doc_id))::VARCHAR, 6, '0') AS entry_id, strlen(text)::BIGINT AS n_bytes, sha256(text) AS sha256 FROM documents""")
+def extract_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams every member and verifies its size and CRC-32; the digests are those of the texts that went in."""
+    scans = zip_contents(spark, sf_dir)
+    return content.member_digests(scans)
