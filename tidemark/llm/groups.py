@@ -8,6 +8,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def _changes(column: pa.Array, n: int) -> list[bool]:
+    """Whether each value but the first differs from the one before."""
+    if n < 2:
+        return []
+    if pa.types.is_struct(column.type):
+        return [any(x) for x in zip(*(_changes(part, n) for part in column.flatten()))]
+    return pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), True).to_pylist()
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """One table for each stretch of equal values in `key`, across batch borders."""
     held: list[pa.RecordBatch] = []
@@ -17,7 +26,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         if not n:
             continue
         column = batch.column(key)
-        changed = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), True).to_pylist() if n > 1 else []
+        changed = _changes(column, n)
         edges = [0, *(k + 1 for k, x in enumerate(changed) if x), n]
         for low, high in zip(edges, edges[1:]):
             value = column[low].as_py()

@@ -45,6 +45,12 @@ def _hash(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
+def _merged(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two runs as one: a merge join of what is sorted already."""
+    right = right.hint("merge").select("h", F.col("n").alias("m"))
+    return left.join(right, "h", "full_outer").select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+
 class LineRuns:
     """Document counts of line hashes in levelled sorted runs (columns `h` binary, `n` long)."""
 
@@ -85,7 +91,7 @@ class LineRuns:
     def _compact(self, level: int, last: bool = False) -> None:
         """Merges the runs of a level into one of the next, and settles the hashes that reach the threshold."""
         runs = self.levels[level]
-        merged = reduce(DataFrame.unionAll, [self.spark.table(name) for name in runs]).groupBy("h").agg(F.sum("n").alias("n"))
+        merged = reduce(_merged, [self.spark.table(name) for name in runs])
         open_run = self._write(merged)
         reached = self.spark.table(open_run).where(F.col("n") >= self.min_docs)
         old = self.settled_run

@@ -1,48 +1,17 @@
-"""Intermediate tables in the folder that all executors share.
-
-Writing a table there cuts the lineage: a lost executor costs the tasks of one
-stage, never the whole job so far.
-"""
+"""Intermediate tables of the corpus operators, in the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (one machine)."""
-    found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
-        spark.conf.set(_KEY, found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+import gc
 
+from pyspark.sql import SparkSession
 
-class Table:
-    """A table written to the shared folder."""
+from ..shared import Table, delete, new_path, shared_dir
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        self.schema = df.schema
-        df.write.parquet(self.path)
+__all__ = ["Table", "delete", "new_path", "release", "shared_dir"]
 
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        delete(self.spark, self.path)
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs: its cleaner acts when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
