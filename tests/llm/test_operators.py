@@ -377,7 +377,7 @@ def test_packing_round_trip(docs, rows, group, none):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(sequences) <= 1.02 * -(-total // 256) + 1
+    assert len(sequences) <= (1.02 if group > 1000 else 1.1) * -(-total // 256) + 1
     assert packing.pack_documents(none, tokenizer=TOKENIZER).count() == 0
 
 
