@@ -2,8 +2,9 @@
 
 Sequential covering: a rule, a conjunction of thresholds on statistics, is grown
 condition by condition on two thirds of the labelled sample, pruned on the rest,
-and kept if it is right more often than not there; the rows it covers are set
-aside and the next rule is learned. The list becomes one ordered Spark CASE expression.
+and kept if it is right in at least three of four cases there; the rows it covers are set
+aside and the next rule is learned. Rows weigh as much as their label is frequent among all
+labelled ones. The list becomes one ordered Spark CASE expression.
 """
 
 from __future__ import annotations
@@ -120,19 +121,19 @@ def _covered(rule: Rule, table: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def _grow(table: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
+def _grow(table: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray, longest: int) -> Rule:
     """Adds the condition of the greatest information gain until only bad rows are covered."""
     rule: Rule = ()
     inside = np.ones(len(bad), dtype=bool)
     while len(rule) < longest and (~bad[inside]).any():
-        p0, n0 = bad[inside].sum(), inside.sum()
+        p0, n0 = weight[inside & bad].sum(), weight[inside].sum()
         best, chosen = 1e-9, None
         for feature, values in table.items():
             cuts = np.unique(np.quantile(values[inside & bad], np.linspace(0, 1, 33)))
             for threshold in cuts.tolist():
                 for above in (True, False):
                     held = inside & (values >= threshold if above else values <= threshold)
-                    p, n = (bad & held).sum(), held.sum()
+                    p, n = weight[bad & held].sum(), weight[held].sum()
                     gain = p * (np.log2(p / n) - np.log2(p0 / n0)) if p else 0
                     if gain > best:
                         best, chosen = gain, Condition(feature, above, threshold)
@@ -143,29 +144,30 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
     return rule
 
 
-def _prune(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+def _prune(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray) -> Rule:
     """The beginning of the rule that is worth most on rows it was not grown on."""
 
     def worth(part: Rule) -> float:
         held = _covered(part, table)
-        p, n = (bad & held).sum(), (~bad & held).sum()
+        p, n = weight[bad & held].sum(), weight[~bad & held].sum()
         return (p - n) / (p + n) if p + n else -1.0
 
     return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda part: (worth(part), -len(part))) if rule else rule
 
 
-def learn(rows: np.ndarray, bad: np.ndarray, *, longest: int = 4, most: int = 16) -> list[Rule]:
-    """An ordered list of rules that tell bad rows; every third row is held back for pruning."""
+def learn(rows: np.ndarray, bad: np.ndarray, weight: np.ndarray | None = None, *, longest: int = 4, most: int = 16, precision: float = 0.75, seed: int = 3) -> list[Rule]:
+    """An ordered list of rules that tell bad rows; a third of the rows is held back for pruning."""
     rules: list[Rule] = []
     left = np.ones(len(bad), dtype=bool)
-    third = np.arange(len(bad)) % 3 == 2
+    weight = np.ones(len(bad)) if weight is None else weight
+    third = np.random.default_rng(seed).random(len(bad)) < 1 / 3
     table = feature_table(rows)
     part = lambda mask: {name: values[mask] for name, values in table.items()}
     while len(rules) < most and (bad & left & ~third).any():
         grow, prune = left & ~third, left & third
-        rule = _prune(_grow(part(grow), bad[grow], longest), part(prune), bad[prune])
-        held = _covered(rule, part(prune)) if rule else np.zeros(0, dtype=bool)
-        if not rule or 2 * (bad[prune] & held).sum() <= held.sum():
+        rule = _prune(_grow(part(grow), bad[grow], weight[grow], longest), part(prune), bad[prune], weight[prune])
+        held = _covered(rule, part(prune)) if rule else np.zeros(int(prune.sum()), dtype=bool)
+        if not held.any() or weight[prune][held & bad[prune]].sum() < precision * weight[prune][held].sum():
             break
         rules.append(rule)
         left &= ~_covered(rule, table)
@@ -185,10 +187,13 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit_rules(labelled: DataFrame, docs: DataFrame, *, per_label: int = 3000) -> list[Rule]:
     """Rules for the documents labelled 0, from at most `per_label` documents of each label."""
-    drawn = sampling.sample(labelled.where("label IN (0, 1)"), docs, per_label=per_label)
+    known = labelled.where("label IN (0, 1)")
+    totals = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = sampling.sample(known, docs, per_label=per_label)
     hashes = WordHashes()
     rows = np.array([statistics(text.encode(), hashes) for _, text in drawn], dtype=np.int64).reshape(-1, len(BASE + EXTRA))
-    return learn(rows, np.array([label == 0 for label, _ in drawn], dtype=bool))
+    bad = np.array([label == 0 for label, _ in drawn], dtype=bool)
+    return learn(rows, bad, np.where(bad, totals.get(0, 0) / max(1, bad.sum()), totals.get(1, 0) / max(1, (~bad).sum())))
 
 
 def judge_quality(docs: DataFrame, rules: list[Rule]) -> DataFrame:
