@@ -71,7 +71,36 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k)
 """
 
+NGRAM_JOIN = r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS k, doc_id,
+           coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+    FROM documents
+), starts AS (
+    SELECT k, words, least(5, len(words)) AS size, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS pos FROM docs WHERE len(words) > 0
+), grams AS (
+    SELECT DISTINCT k, array_to_string(words[pos : pos + size - 1], ' ') AS gram FROM starts
+), sets AS (
+    SELECT k, count(*) AS size, md5(string_agg(gram, '|' ORDER BY gram)) AS set_key FROM grams GROUP BY k
+), common AS (
+    SELECT a.k AS a, b.k AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.k <> b.k GROUP BY a.k, b.k
+), links AS (
+    SELECT a, b FROM common JOIN sets x ON a = x.k JOIN sets y ON b = y.k WHERE 5 * n >= 4 * (x.size + y.size - n)
+), reach(k, r) AS (
+    SELECT k, k FROM docs UNION SELECT reach.k, links.b FROM reach JOIN links ON reach.r = links.a
+), classes AS (
+    SELECT reach.k, min(docs.doc_id) AS class_id FROM reach JOIN docs ON reach.r = docs.k GROUP BY reach.k
+), degree AS (
+    SELECT a AS k, count(*) AS n_links FROM links GROUP BY a
+), copies AS (
+    SELECT k, count(*) OVER (PARTITION BY set_key) AS n_copies FROM sets
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM docs JOIN classes USING (k) LEFT JOIN degree USING (k) LEFT JOIN copies USING (k)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_ngram_join": NGRAM_JOIN,
     "op4_url_filter": URL_FILTER,
     "op5_line_dedup": LINE_DEDUP,
     "op7_benchmark_decontamination": DECONTAMINATION,
