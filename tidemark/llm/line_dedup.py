@@ -166,6 +166,7 @@ def drop_common_lines(
         .agg(F.array_sort(F.collect_set(F.col("__pos") + 1)).alias("__hits"))
         .withColumnRenamed("__key", "__hit_key")
     )
+    hits = store.Table(hits, "line-hits").df  # read back bare, so that adaptive execution can split the copies of one text in the join
     lines = text_lines(F.col(text_col))
     kept_lines = lambda xs, edges: F.flatten(  # noqa: E731  the stretches between the dropped lines
         F.transform(
