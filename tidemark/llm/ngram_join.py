@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import groups
 from .graph import components
-from .store import Table
+from .store import Table, release
 from .text import WordHashes, mixed, raw_texts, shingles, slices, words
 
 #: Sets, and n-grams of sets, in a block of a large component.
@@ -177,6 +177,7 @@ def ngram_classes(
     id; repeated rows are copies of each other; an empty table gives an empty
     table; other columns of `docs` are not read.
     """
+    spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall, permutations)
     ratio = (round(threshold * 10_000), 10_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
@@ -221,8 +222,10 @@ def ngram_classes(
     placed = Table(classes.join(named, "root").select("set_key", "class_rep", "links"), "placed")
     of_sets = sets.df.select("set_key", "rep", "copies").join(placed.df, "set_key", "left")
     of_sets = of_sets.select("set_key", F.coalesce("class_rep", "rep").alias("class_rep"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    for table in (candidates, verified):
+    of_sets = Table(of_sets, "of-sets").df  # read back bare, so that adaptive execution can split the copies of one set in the join
+    for table in (candidates, verified, placed, sets):
         table.drop()
+    release(spark)
     return signed.df.select("doc_id", "digest", "set_key").join(of_sets, "set_key", "left").select(
         "doc_id",
         "digest",
