@@ -17,22 +17,28 @@ from tidemark.llm.store import Table
 ORACLE_SQL = None
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """The text beside all other columns in one, so that no column of the input meets an operator's of the same name."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"), "text")
+
+
+def _restored(found: DataFrame, columns: list[str], **replaced) -> DataFrame:
+    """The columns of the input again, in their order."""
+    return found.select(*[replaced.get(c, F.col("text") if c == "text" else F.col("__row")[c]).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels outside its held-out fifth, does not predict toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(sampling.id_remainder(F.col("doc_id"), 5) != 0)
     model = toxicity.fit_toxicity(labels.select("doc_id", F.col("toxic").alias("label")), docs)
-    # Columns of the input that share a name with the operator's stay as they came.
-    scored = toxicity.score_toxicity(docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text"), model)
-    return scored.where("predicted = 0").select("__row.*")
+    return _restored(toxicity.score_toxicity(_held(docs), model).where("predicted = 0"), docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines found in ten of them or more; n_chars follows the text."""
-    columns = docs.columns
-    held = docs.select(F.struct(*columns).alias("__row"), "text")
-    kept = line_dedup.drop_common_lines(held, min_docs=10).withColumn("__text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    replaced = {"text": F.col("__text"), "n_chars": F.coalesce(F.char_length("__text").cast("long"), F.lit(0).cast("long"))}
-    return kept.select(*[replaced.get(c, F.col("__row")[c]).alias(c) for c in columns])
+    kept = line_dedup.drop_common_lines(_held(docs), min_docs=10)
+    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _restored(kept, docs.columns, text=text, n_chars=F.coalesce(F.char_length(text).cast("long"), F.lit(0).cast("long")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    held = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    found = decontaminate.benchmark_hits(held, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("NOT contaminated").select("__row.*")
+    found = decontaminate.benchmark_hits(_held(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _restored(found.where("NOT contaminated"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

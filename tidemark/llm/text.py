@@ -16,8 +16,8 @@ WORD_TABLE = bytes(
     for byte in range(256)
 )
 #: Texts handled at once, so that a batch of very long texts is not expanded in one go.
-SLICE_BYTES = 8 << 20
-_CACHE_ENTRIES = 1 << 19
+SLICE_BYTES = 2 << 20
+_CACHE_ENTRIES = 1 << 18
 
 
 def words(raw: bytes | None) -> list[bytes]:

@@ -26,9 +26,9 @@ from .text import raw_texts, with_columns, words
 WINDOW, STRIDE = 64, 48
 _HIDDEN, _WORD, _CHAR, _ATTENTION = 8, 8, 8, 8
 _BUCKETS, _VOCABULARY = 2048, 4096
-_CACHE_ENTRIES = 1 << 18
+_CACHE_ENTRIES = 1 << 17
 _TRIGRAMS = 24
-_BATCH = 2048
+_BATCH = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -166,7 +166,19 @@ class Scorer:
 
     def _clear(self) -> None:
         self.rows: dict[bytes, int] = {b"": 0}  # row 0 stands for the places after a text's end, and for an empty text
-        self.table = self.model.gates(self.model.inputs([b""])[0])
+        first = self.model.gates(self.model.inputs([b""])[0])
+        self.table = np.empty((1 << 12, first.shape[1]), dtype=np.float32)
+        self.table[:1] = first
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Adds the gates of new words; the table doubles when it is full."""
+        for low in range(0, len(new), 1 << 12):
+            part = new[low : low + (1 << 12)]
+            start = len(self.rows)
+            while start + len(part) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.rows.update((t, start + k) for k, t in enumerate(part))
+            self.table[start : start + len(part)] = self.model.gates(self.model.inputs(part)[0])
 
     def window_logits(self, tokens: list[bytes]) -> np.ndarray:
         """The logit of each window of one text."""
@@ -181,11 +193,7 @@ class Scorer:
         """The logits of all windows, and how many each text has."""
         if len(self.rows) > _CACHE_ENTRIES:
             self._clear()
-        new = list({t for tokens in of_docs for t in tokens if t not in self.rows})
-        for low in range(0, len(new), 1 << 14):
-            part = new[low : low + (1 << 14)]
-            self.rows.update((t, len(self.table) + k) for k, t in enumerate(part))
-            self.table = np.concatenate([self.table, self.model.gates(self.model.inputs(part)[0])])
+        self._learn(list({t for tokens in of_docs for t in tokens if t not in self.rows}))
         rows, lengths, owners = [], [], []
         for number, tokens in enumerate(of_docs):
             n = len(tokens)
