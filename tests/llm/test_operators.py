@@ -323,6 +323,20 @@ def test_passages_found_and_clean_documents_left_alone(spark, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_copies_of_short_documents_are_found(spark):
+    # every function's root window of a short text stands for the same starts
+    rng = random.Random(16)
+    unique = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for k in range(40):
+        text = unique(50 + k % 8)
+        rows += [(k, text), (100 + k, text)]
+    rows += [(200, unique(50)), (200, rows[0][1])] + [(300, unique(52))] * 2
+    found = passages.repeated_passages(data.documents(spark, rows).repartition(3)).collect()
+    assert {r.doc_id for r in found} == {*range(40), *range(100, 140), 200}
+    assert {(r.start, r.end) for r in found if r.doc_id < 200} == {(0, 50 + k) for k in range(8)}
+
+
 # --- 7 ---------------------------------------------------------------
 
 
