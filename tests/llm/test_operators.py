@@ -323,6 +323,14 @@ def test_passages_found_and_clean_documents_left_alone(spark, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_every_partner_of_a_span_is_asked():
+    import pyarrow as pa
+
+    windows = [{"doc": 1, "place": 10 + f, "first": 0, "last": 5, "function": f, "low_doc": 2, "low_place": 10 + f, "high_doc": 3, "high_place": 30 + f} for f in range(4)]
+    asked = [r for batch in passages._pairs(iter([pa.RecordBatch.from_pylist(windows)]), least=46, enough=2) for r in batch.to_pylist()]
+    assert [(r["partner"], r["start"], r["end"]) for r in asked] == [(2, 0, 51), (3, 0, 51)]
+
+
 def test_copies_of_short_documents_are_found(spark):
     # every function's root window of a short text stands for the same starts
     rng = random.Random(16)
