@@ -323,6 +323,16 @@ def test_passages_found_and_clean_documents_left_alone(spark, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_changed_words_near_the_ends_count():
+    whole = np.arange(48)
+    for changed in range(52):  # a word of 52 is changed, so up to five of 48 shingles
+        place = whole[(whole > changed) | (whole < changed - 4)]
+        ((start, end),) = passages.confirmed(place, place + 7, 46, 0.8, (0, 48))
+        assert 0 <= start and end <= 48 and end - start >= 46
+    assert passages.confirmed(whole[:36], whole[:36], 46, 0.8, (0, 48)) == []
+    assert passages.confirmed(whole[2:47], whole[2:47], 46, 0.8, (2, 47)) == []
+
+
 def test_every_partner_of_a_span_is_asked():
     import pyarrow as pa
 
