@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tests import zips
 from tidemark.api import Preflight
 from tidemark.operators import collisions, draft, tree
+from tidemark.plans.listings import zip_contents
 from tidemark.plans.policies import LINUX, WINDOWS, ExtractLimits, Options, ScanLimits, policy, root_units
-from tidemark.sources import extraction
+from tidemark.sources import content, extraction
+from tidemark.sources.archives import scan_contents
 from tidemark.sources.decoding import readings
 from tidemark.sources.wire import Budget, Ranged, extents, fields_of, member_chunks, scan, scan_file
 
@@ -224,3 +226,21 @@ def test_empty_listing(spark):
     found = collisions.objects(none, tree.logical_directories(none))
     assert collisions.collision_groups(found, WINDOWS).count() == 0
     assert draft.records(none.toPandas()) == []
+
+
+def test_rejected_archives_fail_the_digests(spark):
+    good, bad = zips.make(["a.txt"]), zips.make([f"{k}" for k in range(50_001)])
+    frame = lambda *data: spark.createDataFrame([(f"{k}.zip", bytearray(d)) for k, d in enumerate(data)], "archive string, content binary")
+    assert content.member_digests(frame(good)).count() == 1
+    for data in (bad, b"no archive" * 9):
+        with pytest.raises(Exception, match="1.zip: "):
+            content.member_digests(frame(good, data)).collect()
+
+
+def test_archives_of_a_source_grow_in_number(spark, tmp_path):
+    rows = [(k, "en", "x" * 100, "a" if k < 300 else "b") for k in range(310)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for limits, wanted in (({}, 8), ({"entries": 20}, 15), ({"text_bytes": 1000}, 30)):
+        found = scan_contents(zip_contents(spark, str(tmp_path), **limits)).select("archive", "state", F.size("entries").alias("n")).collect()
+        assert sum(r.n for r in found) == 310 and {r.state for r in found} == {"ok"}
+        assert sum(r.archive.startswith("a-") for r in found) == wanted and sum(r.archive.startswith("b-") for r in found) == 8

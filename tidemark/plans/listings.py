@@ -43,8 +43,11 @@ def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("parts", F.split("name", "/", -1))
 
 
-def zip_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ZIP archives made of `documents`, one per source and bucket of ids: (archive, content). Built in tasks, so the table grows with its input."""
+def zip_contents(spark: SparkSession, sf_dir: str, *, least: int = 8, entries: int = 25_000, text_bytes: int = 128 << 20) -> DataFrame:
+    """ZIP archives made of `documents`, one per source and bucket of ids: (archive, content). Built in tasks, so the table grows with its input.
+
+    A source has `least` buckets, or as many as it takes for `entries` documents and `text_bytes` of text in each on average.
+    """
     import pandas as pd
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
@@ -58,5 +61,9 @@ def zip_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 archive.writestr(info, (text or "").encode())
         return pd.DataFrame({"archive": [frame.archive.iloc[0]], "content": [out.getvalue()]}, dtype=object)
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.concat("source", F.lit("-"), F.pmod(F.col("doc_id"), F.lit(8)).cast("string"), F.lit(".zip")).alias("archive"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source")
+    needed = F.ceil(F.greatest(F.count(F.lit(1)) / entries, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / text_bytes))
+    large = docs.groupBy("source").agg(needed.alias("buckets")).where(F.col("buckets") > least)
+    bucket = F.pmod(F.col("doc_id"), F.coalesce("buckets", F.lit(least).cast("long")))
+    docs = docs.join(F.broadcast(large), "source", "left").select("doc_id", "lang", "text", F.concat("source", F.lit("-"), bucket.cast("string"), F.lit(".zip")).alias("archive"))
     return docs.groupBy("archive").applyInPandas(build, "archive string, content binary")

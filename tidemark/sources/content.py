@@ -13,7 +13,7 @@ from .wire import Budget, Ranged, extents, member_chunks, scan
 
 
 def member_digests(contents: DataFrame, limits: ExtractLimits = ExtractLimits()) -> DataFrame:
-    """One row per member of each archive (archive, content): archive, entry_id, n_bytes, sha256. A member that fails verification fails the job.
+    """One row per member of each archive (archive, content): archive, entry_id, n_bytes, sha256. A member that fails verification fails the job, and so does an archive whose listing is neither ok nor complete with findings.
 
     Members are inflated in chunks of 64 KiB, whatever their size.
     """
@@ -23,6 +23,8 @@ def member_digests(contents: DataFrame, limits: ExtractLimits = ExtractLimits())
             for archive, data in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist()):
                 source, rows, budget = Ranged.of(data), [], Budget(limits.total_bytes)
                 listing = scan(source)
+                if listing.state not in ("ok", "findings"):
+                    raise ValueError(f"{archive}: {listing.state}: {', '.join(d[0] for d in listing.diagnostics)}")
                 for entry_id, extent in extents(source, listing, {e.entry_id for e in listing.entries}).items():
                     digest, size = hashlib.sha256(), 0
                     for chunk in member_chunks(source, extent, limits, budget):
