@@ -12,6 +12,7 @@ from tidemark.api import Preflight
 from tidemark.operators import collisions, draft, tree
 from tidemark.plans.listings import zip_contents
 from tidemark.plans.policies import LINUX, WINDOWS, ExtractLimits, Options, ScanLimits, policy, root_units
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import content, extraction
 from tidemark.sources.archives import scan_contents
 from tidemark.sources.decoding import readings
@@ -244,3 +245,13 @@ def test_archives_of_a_source_grow_in_number(spark, tmp_path):
         found = scan_contents(zip_contents(spark, str(tmp_path), **limits)).select("archive", "state", F.size("entries").alias("n")).collect()
         assert sum(r.n for r in found) == 310 and {r.state for r in found} == {"ok"}
         assert sum(r.archive.startswith("a-") for r in found) == wanted and sum(r.archive.startswith("b-") for r in found) == 8
+
+
+def test_candidate_decode_reads_whole_texts(spark, tmp_path):
+    texts = ["a" * 30, "a" * 30 + "b", "a" * 30 + "\u00e9", "a" * 30 + "\U0001f600" * 40]
+    spark.createDataFrame([(3 * k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in QUERIES["candidate_decode"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        wanted, row = readings(text.encode(), b"", 0), found[3 * k + 1]
+        assert (row.n_readings, row.first_id, row.sources) == (len(wanted), wanted[0]["candidate_id"], ",".join(w["source"] for w in wanted))
+    assert len({r.first_id for r in found.values()}) == 4

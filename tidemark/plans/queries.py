@@ -333,7 +333,7 @@ def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def candidate_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.left("text", F.lit(24)), "UTF-8").alias("raw"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
     read = raw.withColumn("c", decode_candidates("raw", F.lit(b""), F.when(F.col("doc_id") % 3 == 0, 0x800).otherwise(0)))
     return read.select("doc_id", F.size("c").cast("long").alias("n_readings"), F.array_join(F.transform("c", lambda c: c["source"]), ",").alias("sources"), F.get("c", F.lit(0))["candidate_id"].alias("first_id"))
 
