@@ -145,6 +145,18 @@ def test_toxicity_learns_and_covers(spark, docs, none):
     assert toxicity.fit([]).shift < 0 and toxicity.fit([(1, "a")]).shift > 0
 
 
+def test_toxicity_reads_the_middle_of_long_words():
+    for n in (0, 1, 24, 25, 36, 37, 1000):
+        word = bytes(random.Random(n).randrange(97, 123) for _ in range(n))
+        parts = toxicity.pieces([word])
+        assert all(any(word[k : k + 13] in part for part in parts) for k in range(max(1, n - 12))) and all(len(p) <= 24 for p in parts)
+    model = toxicity.fit([(bad, text) for _, text, bad in labelled()], steps=150)
+    glue = lambda text: text.replace(" ", "\u3000").encode()
+    calm = "calm words here " * 300
+    clean, bad = toxicity.Scorer(model).scores([glue(calm + calm), glue(calm + "scumbag vileword hatehate scumbag " + calm)])
+    assert bad > clean
+
+
 def test_quality_network_learns(docs, none):
     rng = random.Random(2)
     make = lambda bad: "$$% | ".join(data.sentence(rng, "en", 30).split()) if bad else data.sentence(rng, "en", 40)

@@ -1,8 +1,9 @@
 """Toxicity scores from a small bidirectional GRU with attention pooling, in numpy.
 
 A word enters as its own embedding (if it is in the learned vocabulary) beside
-the mean embedding of its character trigrams. A text is read in overlapping
-windows of 64 words, 48 apart, the last one ending with the text; every window is
+the mean embedding of its character trigrams. A word of more than 24 bytes, as in a text
+without spaces, enters as overlapping pieces that take places of their own. A text is read in
+overlapping windows of 64 words, 48 apart, the last one ending with the text; every window is
 scored and the text's score is a calibrated function of the highest.
 
 The input part of the gates depends on the word alone, so it is computed once per
@@ -27,7 +28,7 @@ WINDOW, STRIDE = 64, 48
 _HIDDEN, _WORD, _CHAR, _ATTENTION = 8, 8, 8, 8
 _BUCKETS, _VOCABULARY = 2048, 4096
 _CACHE_ENTRIES = 1 << 17
-_TRIGRAMS = 24
+_TRIGRAMS = 24  # bytes of a piece, which has as many trigrams
 _BATCH = 1024
 
 
@@ -36,12 +37,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def trigram_ids(word: bytes) -> list[int]:
-    """Buckets of the character trigrams of a word with its ends marked, in bytes; at most 24, from both ends of a long one."""
+    """Buckets of the character trigrams of a word with its ends marked, in bytes."""
     marked = b"<" + word + b">"
-    places = range(max(1, len(marked) - 2))
-    if len(places) > _TRIGRAMS:
-        places = [*places[: _TRIGRAMS // 2], *places[-_TRIGRAMS // 2 :]]
-    return [zlib.crc32(marked[k : k + 3]) % _BUCKETS for k in places]
+    return [zlib.crc32(marked[k : k + 3]) % _BUCKETS for k in range(max(1, len(marked) - 2))]
+
+
+def pieces(tokens: list[bytes]) -> list[bytes]:
+    """The words, those of more than 24 bytes as pieces of 24, 12 apart, the last one ending with the word."""
+    if not any(len(t) > _TRIGRAMS for t in tokens):
+        return tokens
+    return [t[s : s + _TRIGRAMS] for t in tokens for s in [*range(0, len(t) - _TRIGRAMS, _TRIGRAMS // 2), max(0, len(t) - _TRIGRAMS)]]
 
 
 def window_starts(n: int) -> list[int]:
@@ -186,7 +191,7 @@ class Scorer:
 
     def highest_logits(self, raws: list[bytes | None]) -> np.ndarray:
         """The highest logit among the windows of each text."""
-        logits, owners = self._logits([words(raw) or [b""] for raw in raws])
+        logits, owners = self._logits([pieces(words(raw)) or [b""] for raw in raws])
         return np.maximum.reduceat(logits, np.concatenate([[0], np.cumsum(owners)[:-1]]))
 
     def _logits(self, of_docs: list[list[bytes]]) -> tuple[np.ndarray, list[int]]:
@@ -254,7 +259,7 @@ def _windows_to_learn(texts: list[list[bytes]], toxic: np.ndarray, rng: np.rando
 def fit(labelled: list[tuple[int, str]], *, steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> GruModel:
     """A model from (label, text) pairs; without both labels, one that scores everything by the share of toxic ones."""
     rng = np.random.default_rng(seed)
-    texts = [words(text.encode()) for _, text in labelled]
+    texts = [pieces(words(text.encode())) for _, text in labelled]
     toxic = np.array([label == 1 for label, _ in labelled], dtype=bool)
     model = GruModel.fresh(_telling_words(texts, toxic), seed)
     if not toxic.any() or toxic.all():
