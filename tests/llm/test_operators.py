@@ -235,6 +235,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["chain", "star", "binary"])
+def test_contraction_takes_few_rounds(spark, kind):
+    names = list(range(512))
+    random.Random(8).shuffle(names)
+    edges = [(names[0 if kind == "star" else k], names[k + 1]) for k in range(511)]
+    df, rounds = spark.createDataFrame(edges, "a long, b long"), []
+    if kind == "binary":
+        df = df.selectExpr("unhex(lpad(hex(a), 4, '0')) AS a", "unhex(lpad(hex(b), 4, '0')) AS b")
+    found = components(df, at_once=0, rounds=rounds).collect()
+    least = bytes(2) if kind == "binary" else 0
+    assert len(found) == 512 and all(bytes(r.component) == least if kind == "binary" else r.component == least for r in found)
+    assert len(rounds) < 15 and rounds[-1] == 0
+
+
 # --- 4 ---------------------------------------------------------------
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), (None, "/", "block"), ("x.y", "", "block"), ("x.y", "", "allow")]
@@ -298,13 +312,27 @@ def test_line_dedup_equals_brute_force(spark, batches, fanout, broadcast):
 # --- 6 ---------------------------------------------------------------
 
 
-def test_compact_windows_partition_all_runs():
-    values = np.random.default_rng(4).integers(0, 30, 80)
-    found = passages.compact_windows(values, 5)
-    for start in range(80):
-        for end in range(start + 5, 81):
-            holders = [(a, c, b) for a, c, b in found if a <= start <= c < end <= b + 1]
-            assert len(holders) == 1 and values[holders[0][1]] == values[start:end].min()
+def tree_nodes(values, least):
+    """(first run, last run, place) of the Cartesian tree's nodes whose extent holds a run, by recursion."""
+
+    def nodes(low, high):
+        if high - low < least:
+            return
+        place = min(range(low, high), key=lambda k: (values[k], k))
+        yield max(low, place - least + 1), min(place, high - least), place
+        yield from nodes(low, place)
+        yield from nodes(place + 1, high)
+
+    return sorted(nodes(0, len(values)))
+
+
+@pytest.mark.parametrize("least", [1, 2, 5, 16])
+def test_sliding_minima_are_the_nodes_of_the_tree(least):
+    values = np.random.default_rng(least).integers(0, 30, 80).astype(np.uint64) << np.uint64(50)
+    places, lows = passages.sliding_minima(values, least)
+    edges = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(places)]
+    assert [(a, b - 1, int(places[a])) for a, b in zip(edges, edges[1:])] == tree_nodes(values.tolist(), least)
+    assert (lows == values[places]).all()
 
 
 def test_passages_found_and_clean_documents_left_alone(spark, none):
@@ -335,22 +363,71 @@ def test_passages_found_and_clean_documents_left_alone(spark, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def spans_of(here, there, shift=0, similarity=0.8):
+    return passages.similar_spans(passages.matched(np.array(here), np.array(there), shift, 11), 46, similarity)
+
+
 def test_changed_words_near_the_ends_count():
     whole = np.arange(48)
     for changed in range(52):  # a word of 52 is changed, so up to five of 48 shingles
-        place = whole[(whole > changed) | (whole < changed - 4)]
-        ((start, end),) = passages.confirmed(place, place + 7, 46, 0.8, (0, 48))
+        other = np.where((whole > changed) | (whole < changed - 4), whole, -1 - whole)
+        ((start, end),) = spans_of(whole, np.concatenate([np.arange(900, 907), other]), -7)
         assert 0 <= start and end <= 48 and end - start >= 46
-    assert passages.confirmed(whole[:36], whole[:36], 46, 0.8, (0, 48)) == []
-    assert passages.confirmed(whole[2:47], whole[2:47], 46, 0.8, (2, 47)) == []
-
-
-def test_every_partner_of_a_span_is_asked():
-    import pyarrow as pa
-
-    windows = [{"doc": 1, "place": 10 + f, "first": 0, "last": 5, "function": f, "low_doc": 2, "low_place": 10 + f, "high_doc": 3, "high_place": 30 + f} for f in range(4)]
-    asked = [r for batch in passages._pairs(iter([pa.RecordBatch.from_pylist(windows)]), least=46, enough=2) for r in batch.to_pylist()]
-    assert [(r["partner"], r["start"], r["end"]) for r in asked] == [(2, 0, 51), (3, 0, 51)]
+    assert spans_of(whole, whole[:36]) == [] and spans_of(whole[:45], whole) == [] and spans_of([], whole) == []
+
+
+def test_texts_that_repeat_themselves_match():
+    whole = np.tile(np.arange(7), 20)
+    assert spans_of(whole, whole) == spans_of(whole, np.concatenate([[99], whole]), 3) == [(0, 140)]
+    assert spans_of(np.zeros(5000), np.zeros(60), 4900)[-1] == (4900 - 11, 4960 + 11)
+
+
+def test_neighbouring_spans_are_one_while_the_whole_is_similar():
+    long = np.arange(200)
+    changed = long.copy()
+    changed[[90, 91, 92, 93, 94, 98, 99, 100, 101, 102]] += 1000  # two words, 8 apart
+    assert spans_of(long, changed) == [(0, 200)]
+    changed[60:140] += 1000
+    assert spans_of(long, changed) == [(0, 60), (140, 200)]
+
+
+def noisy_rows():
+    """Texts with exact and near passages, in frequent lines and in unique words."""
+    rng = random.Random(26)
+    unique = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [unique(13) for _ in range(6)]
+    rows, near = {}, set()
+    for k in range(120):  # every line in many documents, each by itself
+        rows[k] = unique(40) + rng.choice(lines) + unique(40) + rng.choice(lines) + unique(10)
+    whole = [w for line in lines for w in line]
+    rows[200], rows[201] = unique(60) + whole[:55] + unique(20), unique(5) + whole[:55] + unique(90)
+    rows[202], rows[203] = unique(60) + whole[20:75] + unique(20), unique(5) + whole[20:75] + unique(90)
+    for k in range(40):
+        passage = unique(rng.randint(60, 150))
+        other = list(passage)
+        for place in range(30, len(other) - 20, 50):
+            other[place] = "changed"
+        rows[300 + k], rows[400 + k] = unique(20) + passage + unique(k), unique(k) + other + unique(33)
+        near |= {300 + k, 400 + k}
+    return rows, near
+
+
+def test_passages_of_brute_force_are_found(spark):
+    rows, near = noisy_rows()
+    found = defaultdict(list)
+    for r in passages.repeated_passages(data.documents(spark, [(k, " ".join(v)) for k, v in rows.items()]).repartition(3)).collect():
+        found[r.doc_id].append(r)
+    runs = defaultdict(set)
+    for k, v in rows.items():
+        for at in range(len(v) - 49):
+            runs[tuple(v[at : at + 50])].add((k, at))
+    shared = [x for x in runs.values() if len({k for k, _ in x}) > 1]
+    assert {k for x in shared for k, _ in x} >= {200, 201, 202, 203}
+    for group in shared:
+        for k, at in group:  # every exact run of 50 words is covered, and links its documents
+            assert any(r.start <= at and at + 50 <= r.end for r in found[k])
+        assert len({found[k][0].class_id for k, _ in group}) == 1
+    assert len(near & set(found)) >= 0.95 * len(near) and set(found) <= near | {200, 201, 202, 203}
 
 
 def test_copies_of_short_documents_are_found(spark):

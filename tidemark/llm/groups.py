@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -37,3 +38,30 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             last = value
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole stretches of equal integers in `keys`, and the edges of these stretches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        held.append(batch)
+        if all(held[0].column(k)[0] == batch.column(k)[n - 1] for k in keys):
+            continue  # one stretch so far
+        table = pa.Table.from_batches(held).combine_chunks()
+        edges = _edges(table, keys)
+        yield table.slice(0, edges[-2]), edges[:-1]
+        held = table.slice(edges[-2]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _edges(table, keys)
+
+
+def _edges(table: pa.Table, keys: list[str]) -> np.ndarray:
+    changed = np.zeros(max(0, len(table) - 1), dtype=bool)
+    for key in keys:
+        values = table[key].to_numpy()
+        changed |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.flatnonzero(changed) + 1, [len(table)]])
