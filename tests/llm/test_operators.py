@@ -298,6 +298,15 @@ def brute_lines(rows, least):
     return out
 
 
+def test_line_dedup_of_a_whole_table_joins_and_compacts_its_runs(spark):
+    rows = line_rows() * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    runs = line_dedup.LineRuns(spark, 25)
+    found = line_dedup.drop_common_lines(docs, min_docs=25, runs=runs).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found) == brute_lines(rows, 25)
+    assert (runs.joined, runs.compacted) == (9, 1)  # six batches, four runs to a level
+
+
 @pytest.mark.parametrize("batches, fanout, broadcast", [(1, 4, 100), (5, 2, 100), (3, 4, 0)])
 def test_line_dedup_equals_brute_force(spark, batches, fanout, broadcast):
     rows = line_rows()

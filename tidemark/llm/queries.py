@@ -56,9 +56,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
-    docs = spark.read.parquet(path).select("doc_id", "text")
-    kept = line_dedup.drop_common_lines(docs, batches=line_dedup.file_batches(spark, path), min_docs=10)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    kept = line_dedup.drop_common_lines(docs, min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
