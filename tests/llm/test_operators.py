@@ -534,6 +534,60 @@ def test_local_search_only_helps():
     assert len(packing.improve([[0, 2], [1, 3], [4]], sizes, 10)) == 2
 
 
+def changes_left(bins, sizes, capacity):
+    """Whether brute force finds a move or an exchange, one or two for at most one, that raises the sum of squared fills."""
+    fill = lambda b: sum(sizes[k] for k in b)
+    for giver, taker in ((g, t) for g in bins for t in bins if g is not t and fill(g) < capacity and fill(t) < capacity):
+        for gets in [(k,) for k in giver] + list(combinations(giver, 2)):
+            for back in [0, *(sizes[k] for k in taker)]:
+                gain = sum(sizes[k] for k in gets) - back
+                if fill(taker) + gain <= capacity and (fill(taker) + gain) ** 2 + (fill(giver) - gain) ** 2 > fill(taker) ** 2 + fill(giver) ** 2:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("low, high, n", [(20, 60, 60), (30, 45, 60), (5, 40, 40), (45, 55, 30), (60, 100, 20), (50, 51, 9)])
+def test_local_search_ends_where_no_change_is_left(low, high, n):
+    sizes = sorted(np.random.default_rng(low).integers(low, high, n).tolist(), reverse=True)
+    bins = packing.improve([[k] for k in range(n)], sizes, 100)
+    assert len(bins) == -(-sum(sizes) // 100) or not changes_left(bins, sizes, 100)
+
+
+def test_local_search_has_no_cap_of_turns():
+    sizes = sorted(np.random.default_rng(1).integers(600, 1500, 3000).tolist(), reverse=True)
+    before = packing.best_fit(sizes, 4096)
+    search = packing.Search(before, sizes, 4096)
+    after = search.run()
+    assert search.changes > 1000 and len(after) == -(-sum(sizes) // 4096) < len(before)
+
+
+def test_packing_goes_on_for_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAST_GAIN", -1.0)  # rounds that save nothing go on, too
+    rounds, found = [], packing._pack
+    monkeypatch.setattr(packing, "_pack", lambda batches, **x: found(batches, **x))
+
+    class Counted(packing.Table):
+        def __init__(self, df, name):
+            rounds.append(name)
+            if rounds.count("packed") > 40:
+                monkeypatch.setattr(packing, "LEAST_GAIN", 1.0)
+            super().__init__(df, name)
+
+    monkeypatch.setattr(packing, "Table", Counted)
+    docs = spark.createDataFrame([(k, "word " * 59) for k in range(6)], "doc_id long, text string")
+    packed = packing.pack_documents(docs, tokenizer=TOKENIZER, length=100, group_pieces=2).collect()
+    assert rounds.count("packed") == 41 and len(packed) == 6 and len({r.sequence_id for r in packed}) == 6
+
+
+def test_repeated_rows_are_dealt_into_several_groups(spark):
+    docs = spark.createDataFrame([(None, "word")] * 300, "doc_id long, text string")
+    packed = packing.pack_documents(docs, tokenizer=TOKENIZER, length=100, group_pieces=20).collect()
+    used = defaultdict(set)
+    for r in packed:
+        used[r.sequence_id].add(r.offset)
+    assert len(packed) == 300 and sum(map(len, used.values())) == 300 and len(used) <= 9
+
+
 # --- 9 ---------------------------------------------------------------
 
 

@@ -3,10 +3,10 @@
 Documents are tokenised and cut into pieces in one pass; only the pieces' numbers
 travel from there. Pieces are dealt by hash into groups of bounded size. A group
 is packed best-fit in order of falling length, then improved by local search: one-for-one
-exchanges, two-for-one exchanges and moves from the emptiest sequences to fuller
-ones, each raising the sum of squared fills, until sequences fall empty. What
-the groups leave in sequences that are not full goes through another round with
-the leftovers of other groups, until one group holds them all.
+exchanges, two-for-one exchanges and moves between sequences that are not full, each raising the
+sum of squared fills, until sequences fall empty and no change is left. What
+the groups leave in sequences that are not full is dealt anew and packed again, until one group
+holds it all or a round saves less than one sequence in a thousand.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ from . import groups
 from .store import Table
 from .text import slices
 
-#: Turns of the local search in a group.
-TURNS = 64
 #: Pieces in a group, on average.
-GROUP_PIECES = 50_000
+GROUP_PIECES = 16_384
+#: Another round of packing must be worth so many of the sequences that are not full.
+LEAST_GAIN = 0.001
+#: Sequence ids that a group may use.
+_GROUP_IDS = 1 << 20
 _CACHE_ENTRIES = 1 << 18
 #: Characters for which the quick way below is tested to agree with the tokenizer: none of them is
 #: changed by NFC, and white space, letters and numbers among them are the same in every Unicode version.
@@ -128,116 +130,104 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _twice(sizes: list[int]) -> np.ndarray:
-    """The sizes in order, each at most twice: no change uses more of one."""
-    values, counts = np.unique(sizes, return_counts=True)
-    return np.repeat(values, np.minimum(counts, 2))
+class Search:
+    """Changes between the bins of `bins` (indexes of `sizes`) that are not full.
 
-
-def _largest_pairs(ordered: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each bound and each element, the other element that brings their sum nearest to the bound from below (-1 if none does)."""
-    other = np.searchsorted(ordered, most[:, None] - ordered[None, :], side="right") - 1
-    other = np.where(other == np.arange(len(ordered)), other - 1, other)
-    return np.where(other >= 0, ordered[other] + ordered, -1), other
-
-
-def _best_change(giver: np.ndarray, taker: np.ndarray, room: int, gap: int) -> tuple[list[int], list[int]] | None:
-    """The change that fills the taker most: sizes it gets and sizes it gives back.
-
-    Its gain is at most `room` and more than `gap`, the giver's fill less the
-    taker's, so that the sum of squared fills rises. Both sides are in order.
+    A change gives a taker one or two items of a giver, for one of its own or for none, so that the taker
+    becomes fuller than the giver was: that is when the sum of squared fills rises, so the search ends by itself.
+    All items of all takers are weighed at once; an item of size 0 in each bin stands for none.
     """
-    best, change = max(0, gap), None
-    at = int(np.searchsorted(giver, room, side="right")) - 1  # a move
-    if at >= 0 and giver[at] > best:
-        best, change = int(giver[at]), ([int(giver[at])], [])
-    if best < room:  # one for one
-        place = np.searchsorted(giver, taker + room, side="right") - 1
-        gain = np.where(place >= 0, giver[place] - taker, -1)
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        fills = [sum(sizes[k] for k in b) for b in bins]
+        self.capacity = capacity
+        self.full = [b for b, fill in zip(bins, fills) if fill == capacity]
+        left = [b for b, fill in zip(bins, fills) if fill < capacity]
+        self.items = np.array([k for b in left for k in b] + [-1] * len(left), dtype=np.int64)
+        self.size = np.array([sizes[k] for b in left for k in b] + [0] * len(left), dtype=np.int64)
+        self.bin = np.array([n for n, b in enumerate(left) for _ in b] + list(range(len(left))), dtype=np.int64)
+        self.fill = np.bincount(self.bin, weights=self.size, minlength=len(left)).astype(np.int64)
+        self.of: list[list[int]] = [[] for _ in left]  # places in `items`, without those of size 0
+        for place, number in enumerate(self.bin[: len(self.bin) - len(left)].tolist()):
+            self.of[number].append(place)
+        self.changes = 0
+
+    def _shrink(self) -> None:
+        """Keeps only items of bins that are neither full nor empty among those that are weighed."""
+        fill = self.fill[self.bin]
+        self.live = np.flatnonzero((fill > 0) & (fill < self.capacity))
+        self.live_size, self.live_bin = self.size[self.live], self.bin[self.live]
+
+    def _gain(self, sums: np.ndarray, room: np.ndarray, above: np.ndarray) -> tuple[int, int, int]:
+        """(gain, place among the weighed, place in `sums`) of the greatest gain: a sum less the item given back, above a bound and at most the taker's room."""
+        at = np.searchsorted(sums, self.live_size + room, side="right") - 1
+        gain = sums[np.maximum(at, 0)] - self.live_size
+        gain = np.where((at >= 0) & (gain > above), gain, 0)
         k = int(gain.argmax())
-        if gain[k] > best:
-            best, change = int(gain[k]), ([int(giver[place[k]])], [int(taker[k])])
-    if best < room and len(giver) > 1:  # two for one
-        sums, other = _largest_pairs(giver, taker + room)
-        gain = np.where(sums >= 0, sums - taker[:, None], -1)
-        row, k = np.unravel_index(int(gain.argmax()), gain.shape)
-        if gain[row, k] > best:
-            best, change = int(gain[row, k]), ([int(giver[k]), int(giver[other[row, k]])], [int(taker[row])])
-    return change
-
-
-class _Bin:
-    """Items of a bin by size, so that a change can name sizes only."""
-
-    def __init__(self, items: list[int], sizes: list[int]):
-        self.by_size: dict[int, list[int]] = {}
-        self.fill = 0
-        for k in items:
-            self.put(k, sizes[k])
-        self.ordered: np.ndarray | None = None
-
-    def put(self, item: int, size: int) -> None:
-        self.by_size.setdefault(size, []).append(item)
-        self.fill += size
-        self.ordered = None
-
-    def take(self, size: int) -> int:
-        item = self.by_size[size].pop()
-        if not self.by_size[size]:
-            del self.by_size[size]
-        self.fill -= size
-        self.ordered = None
-        return item
-
-    def sizes(self) -> np.ndarray:
-        if self.ordered is None:
-            self.ordered = _twice([s for s, items in self.by_size.items() for _ in items[:2]])
-        return self.ordered
-
-    def items(self) -> list[int]:
-        return [k for size in sorted(self.by_size, reverse=True) for k in self.by_size[size]]
-
-
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, turns: int = TURNS) -> list[list[int]]:
-    """Local search over the bins that are not full: the emptiest gives to fuller ones while squared fill rises.
-
-    It ends when no fewer bins could hold all, when no bin has a change left to give, or after
-    a number of turns that bounds its time; a turn offers one bin's items to all others.
-    """
-    fills = [sum(sizes[k] for k in b) for b in bins]
-    done = [b for b, fill in zip(bins, fills) if fill == capacity]
-    left = sorted((_Bin(b, sizes) for b, fill in zip(bins, fills) if fill < capacity), key=lambda b: b.fill)
-    least = -(-sum(b.fill for b in left) // capacity)  # full bins that leave `left` lower both sides of the test alike
-    stuck = 0
-    for _ in range(turns):
-        if len(left) <= least or stuck >= len(left):
-            break
-        giver, changed = left[stuck], False
-        for taker in reversed(left):
-            if taker is giver or not giver.by_size:
-                continue
-            change = _best_change(giver.sizes(), taker.sizes(), capacity - taker.fill, giver.fill - taker.fill)
-            if change:
-                gets, returns = [(giver.take(s), s) for s in change[0]], [(taker.take(s), s) for s in change[1]]
-                for item, size in gets:
-                    taker.put(item, size)
-                for item, size in returns:
-                    giver.put(item, size)
-                changed = True
-        stuck = 0 if changed else stuck + 1
-        full = [b for b in left if b.fill == capacity]
-        done += [b.items() for b in full]
-        least -= len(full)
-        left = sorted((b for b in left if 0 < b.fill < capacity), key=lambda b: b.fill)
-    return done + [b.items() for b in left]
-
-
-def _pack(batches: Iterator[pa.RecordBatch], *, length: int, turn: int) -> Iterator[pa.RecordBatch]:
+        return int(gain[k]), k, int(at[k])
+
+    def change(self, giver: int) -> bool:
+        """Makes the change of this giver that fills a taker most; false if none raises the sum of squared fills."""
+        mine = sorted(self.of[giver], key=self.size.__getitem__)
+        given = self.size[mine]
+        before = self.fill[self.live_bin]
+        room = self.capacity - before
+        # A taker must end fuller than the giver is now; the giver itself cannot.
+        above = np.where(self.live_bin == giver, self.capacity, np.maximum(0, self.fill[giver] - before))
+        gain, k, at = self._gain(given, room, above)
+        out = [mine[at]] if gain > 0 else []
+        if len(mine) > 1 and (gain <= 0 or gain < room[k]):
+            # Two largest of each size are enough, as no change takes more.
+            few = [n for n in range(len(mine)) if n < 2 or given[n] != given[n - 2]]
+            i, j = (np.array(few)[x] for x in np.triu_indices(len(few), 1))
+            sums = given[i] + given[j]
+            order = np.argsort(sums, kind="stable")
+            more, k2, at2 = self._gain(sums[order], room, above)
+            if more > gain:
+                gain, k, out = more, k2, [mine[i[order[at2]]], mine[j[order[at2]]]]
+        if gain <= 0:
+            return False
+        taker = int(self.live_bin[k])
+        back = [int(self.live[k])] if self.live_size[k] else []
+        for places, source, target in ((out, giver, taker), (back, taker, giver)):
+            for place in places:
+                self.of[source].remove(place)
+                self.of[target].append(place)
+                self.bin[place] = target
+        self.fill[taker] += gain
+        self.fill[giver] -= gain
+        self.live_bin = self.bin[self.live]
+        self.changes += 1
+        return True
+
+    def run(self) -> list[list[int]]:
+        """Every bin gives, the emptiest first, over and over until none has a change left or no fewer could hold all."""
+        least = -(-int(self.fill.sum()) // self.capacity)
+        moved = True
+        while moved and np.count_nonzero(self.fill) > least:
+            moved = False
+            for giver in np.argsort(self.fill, kind="stable").tolist():
+                if not 0 < self.fill[giver] < self.capacity:
+                    continue
+                self._shrink()
+                while self.fill[giver] and self.change(giver):
+                    moved = True
+                if np.count_nonzero(self.fill) <= least:
+                    break
+        return self.full + [[int(self.items[place]) for place in places] for places in self.of if places]
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """The bins after a local search that ends where no change is left, or where no fewer bins could hold all."""
+    return Search(bins, sizes, capacity).run()
+
+
+def _pack(batches: Iterator[pa.RecordBatch], *, length: int, first_id: int) -> Iterator[pa.RecordBatch]:
     for table in groups.runs(batches, "group"):
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("number", "ascending")])
         sizes = table["length"].to_pylist()
         bins = improve(best_fit(sizes, length), sizes, length)
-        first = (turn << 58) + (table["group"][0].as_py() << 20)
+        first = first_id + table["group"][0].as_py() * _GROUP_IDS
         sequence, offset, is_open = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=bool)
         for number, members in enumerate(bins):
             at = 0
@@ -246,11 +236,12 @@ def _pack(batches: Iterator[pa.RecordBatch], *, length: int, turn: int) -> Itera
                 at += sizes[k]
             is_open[members] = at < length
         yield pa.RecordBatch.from_arrays(
-            [*(table[c].combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset), pa.array(is_open)],
-            ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "is_open"],
+            [*(table[c].combine_chunks() for c in _COLUMNS), pa.array(sequence), pa.array(offset), pa.array(is_open)],
+            [*_COLUMNS, "sequence_id", "offset", "is_open"],
         )
 
 
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "number"]
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -266,19 +257,27 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, length: int = 4096, separ
     gives an empty table; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    left = Table(texts.mapInArrow(partial(_pieces, tokenizer=tokenizer, length=length, separator=separator), _PIECE), "pieces")
-    done: DataFrame | None = None
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    turn, count = 0, left.df.count()
+    cut = texts.mapInArrow(partial(_pieces, tokenizer=tokenizer, length=length, separator=separator), _PIECE)
+    # The number tells pieces of repeated rows apart, which would all be dealt into one group.
+    left = Table(cut.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    columns = [c for c in _COLUMNS if c != "number"] + ["sequence_id", "offset"]
+    done: list[DataFrame] = []
+    turn, first_id, before, last = 0, 0, None, None
     while True:
-        dealt = max(1, -(-count // group_pieces))
-        group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(dealt))
+        pieces, tokens = left.df.agg(F.count(F.lit(1)), F.sum("length")).first()
+        dealt = max(1, min(-(-pieces // group_pieces), (tokens or 0) // length))  # a group has a sequence's worth of tokens at least
+        group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "number", F.lit(turn)), F.lit(dealt))
         grouped = left.df.withColumn("group", group).repartition("group").sortWithinPartitions("group")
-        packed = Table(grouped.mapInArrow(partial(_pack, length=length, turn=turn), f"{_PIECE}, sequence_id long, offset long, is_open boolean"), "packed")
+        packed = Table(grouped.mapInArrow(partial(_pack, length=length, first_id=first_id), f"{_PIECE}, number long, sequence_id long, offset long, is_open boolean"), "packed")
         left.drop()
-        again = packed.df.where("is_open").count() if dealt > 1 else 0
-        closed = packed.df if dealt == 1 or again == count else packed.df.where("NOT is_open")
-        done = closed.select(columns) if done is None else done.unionByName(closed.select(columns))
-        if dealt == 1 or again == count or not again:
-            return done
-        left, turn, count = Table(packed.df.where("is_open").select(columns[:5]), "pieces"), turn + 1, again
+        starts = packed.df.where("offset = 0")  # one in each sequence
+        total, still = starts.agg(F.count(F.lit(1)), F.count_if("is_open")).first()
+        if before is not None and total > before:  # the round before had packed these pieces better
+            packed.drop()
+            return reduce(DataFrame.unionAll, [*done, last.df.where("is_open").select(columns)])
+        if last is not None:
+            done.append(last.df.where("NOT is_open").select(columns))
+        if dealt == 1 or still < 2 or before is not None and before - total < LEAST_GAIN * before:
+            return reduce(DataFrame.unionAll, [*done, packed.df.select(columns)])
+        left = Table(packed.df.where("is_open").select(_COLUMNS), "pieces")
+        turn, first_id, before, last = turn + 1, first_id + dealt * _GROUP_IDS, still, packed
