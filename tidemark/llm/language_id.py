@@ -2,7 +2,8 @@
 
 A language gives each piece a probability. The probability of a word is the sum,
 over all ways to cut it into pieces, of the product of theirs; a forward
-recursion over the word's characters adds them up. Training is expectation
+recursion over the word's characters adds them up. The sums are scaled as they go, per word and
+language, so a word may have any length. Training is expectation
 maximisation with the matching backward recursion, over a bounded sample.
 """
 
@@ -21,19 +22,25 @@ from . import sampling
 from .text import with_columns
 
 _LETTERS = regex.compile(r"\p{L}+")
-#: Words are cut at this many letters, which keeps products of probabilities in range.
+#: Words of the training sample are cut at this many letters; words that are scored are never cut.
 _LONGEST = 48
-_CACHE_ENTRIES = 1 << 18
+#: Sums are scaled anew after so many places, well before they leave the range of floating point.
+_RESCALE = 16
+#: Places of words in one table of forward sums; words beyond it are summed place by place, with the last few sums alone.
+_TABLE_PLACES = 1 << 16
+_CACHE_ENTRIES, _CACHE_LETTERS = 1 << 18, 1 << 23
 #: Probability of a letter that is no piece of the vocabulary, the same in every language.
 _UNKNOWN = 1e-5
 
 
 def letter_words(text: str | None) -> list[str]:
+    """Lower-cased runs of letters."""
+    return _LETTERS.findall(text.lower()) if text else []
+
+
+def training_words(text: str | None) -> list[str]:
     """Lower-cased runs of letters, cut at 48."""
-    found = _LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > _LONGEST for w in found):
-        return [w[k : k + _LONGEST] for w in found for k in range(0, len(w), _LONGEST)]
-    return found
+    return [w[k : k + _LONGEST] for w in letter_words(text) for k in range(0, len(w), _LONGEST)]
 
 
 class Lattice:
@@ -43,6 +50,7 @@ class Lattice:
         self.ids = {piece: k for k, piece in enumerate(pieces)}
         self.unknown = len(pieces)
         self.prefixes = {piece[:k] for piece in pieces for k in range(1, len(piece) + 1)}
+        self.reach = max(map(len, pieces), default=1)  # letters of the longest piece
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Lattice:
@@ -76,11 +84,13 @@ class Lattice:
         table = np.array(rows, dtype=np.int64).reshape(-1, 4)
         return table[np.lexsort((table[:, 1], table[:, 0]))], longest
 
-    def forward(self, words: list[str], probability: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-        """Forward sums (word, place, language), the edges, and the stretch of edges that end at each place."""
+    def forward(self, words: list[str], probability: np.ndarray, scaled: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
+        """Forward sums (word, place, language), the edges, the stretch of edges that end at each place, and logarithms to add to the last sums."""
         edges, longest = self.edges(words)
         alpha = np.zeros((len(words), longest + 1, probability.shape[1]))
         alpha[:, 0] = 1
+        logs = np.zeros((len(words), probability.shape[1]))
+        ends = np.array([len(word) + 1 for word in words])
         cuts = np.searchsorted(edges[:, 0], np.arange(1, longest + 2))
         steps = [(cuts[k], cuts[k + 1]) for k in range(longest)]
         for end, (low, high) in enumerate(steps, 1):
@@ -88,17 +98,54 @@ class Lattice:
             first = np.flatnonzero(np.diff(number, prepend=-1))
             if len(first):
                 alpha[number[first], end] = np.add.reduceat(alpha[number, start] * probability[piece], first)
-        return alpha, edges, steps
+            if scaled and end % _RESCALE == 0:
+                on = np.flatnonzero(ends > end)  # words that go on
+                factor = alpha[on, end]
+                alpha[on, max(0, end - self.reach) : end + 1] /= factor[:, None]
+                logs[on] += np.log(factor)
+        return alpha, edges, steps, logs
+
+    def _long_log_probability(self, word: str, probability: np.ndarray) -> np.ndarray:
+        """The same sum for one word of any length, keeping only as many sums as the longest piece reaches back."""
+        marked = "▁" + word
+        size = self.reach + 1
+        sums, log = np.zeros((size, probability.shape[1])), np.zeros(probability.shape[1])
+        sums[0] = 1
+        for start in range(len(marked)):
+            here = sums[start % size].copy()
+            sums[start % size] = 0  # the place that it now stands for lies ahead
+            if start % _RESCALE == 0:
+                sums /= here
+                log += np.log(here)
+                here = np.ones_like(here)
+            single = False
+            for end in range(start + 1, min(len(marked), start + self.reach) + 1):
+                part = marked[start:end]
+                if part not in self.prefixes:
+                    break
+                piece = self.ids.get(part)
+                if piece is not None:
+                    sums[end % size] += here * probability[piece]
+                    single = single or end == start + 1
+            if not single:
+                sums[(start + 1) % size] += here * probability[self.unknown]
+        return np.log(sums[len(marked) % size]) + log
 
     def log_probability(self, words: list[str], probability: np.ndarray) -> np.ndarray:
-        """Log probability of each word in each language, summed over all segmentations."""
+        """Log probability of each word in each language, summed over all segmentations of the whole word."""
         out = np.empty((len(words), probability.shape[1]))
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for low in range(0, len(order), 4096):
-            part = order[low : low + 4096]
-            alpha, _, _ = self.forward([words[k] for k in part], probability)
+        while order:
+            longest = len(words[order[-1]]) + 2
+            if longest > _TABLE_PLACES:
+                last = order.pop()
+                out[last] = self._long_log_probability(words[last], probability)
+                continue
+            part = order[-max(1, min(4096, _TABLE_PLACES // longest)) :]
+            del order[-len(part) :]
+            alpha, _, _, logs = self.forward([words[k] for k in part], probability, scaled=True)
             ends = np.array([len(words[k]) + 1 for k in part])
-            out[part] = np.log(np.maximum(alpha[np.arange(len(part)), ends], 1e-300))
+            out[part] = np.log(alpha[np.arange(len(part)), ends]) + logs
         return out
 
     def expected_counts(self, words: list[str], weights: np.ndarray, probability: np.ndarray) -> np.ndarray:
@@ -107,7 +154,7 @@ class Lattice:
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         for low in range(0, len(order), 4096):
             part = order[low : low + 4096]
-            alpha, edges, steps = self.forward([words[k] for k in part], probability[:, None])
+            alpha, edges, steps, _ = self.forward([words[k] for k in part], probability[:, None])
             alpha = alpha[:, :, 0]
             ends = np.array([len(words[k]) + 1 for k in part])
             rows = np.arange(len(part))
@@ -136,7 +183,7 @@ class LanguageModel:
             found: dict[str, int] = {}
             for label, text in labelled:
                 if label == lang:
-                    for word in letter_words(text):
+                    for word in training_words(text):
                         found[word] = found.get(word, 0) + 1
             words, weights = list(found), np.array(list(found.values()), dtype=float)
             probability = np.append(np.full(size, 1 / size), _UNKNOWN)
@@ -150,15 +197,16 @@ class LanguageModel:
 def _predictor(model: Broadcast):
     fitted: LanguageModel = model.value
     rows: dict[str, int] = {}
-    scores = np.empty((0, len(fitted.languages)))
+    scores, letters = np.empty((0, len(fitted.languages))), 0
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        nonlocal scores
-        if len(rows) > _CACHE_ENTRIES:
+        nonlocal scores, letters
+        if len(rows) > _CACHE_ENTRIES or letters > _CACHE_LETTERS:
             rows.clear()
-            scores = scores[:0]
+            scores, letters = scores[:0], 0
         of_docs = [letter_words(text) for text in batch.column("text").to_pylist()]
         new = list({word for words in of_docs for word in words if word not in rows})
+        letters += sum(map(len, new))
         if new and fitted.languages:
             rows.update((word, len(scores) + k) for k, word in enumerate(new))
             scores = np.concatenate([scores, fitted.lattice.log_probability(new, fitted.probability)])
