@@ -29,8 +29,8 @@ from .store import Table, release
 from .text import WordHashes, mixed, raw_texts, shingles, slices, words
 
 #: Sets, and n-grams of sets, in a block of a large component.
-BLOCK_SETS = 2048
-BLOCK_GRAMS = 1 << 20
+BLOCK_SETS = 512
+BLOCK_GRAMS = 1 << 18
 _STRIPE = 2048
 
 
@@ -239,7 +239,7 @@ def ngram_classes(
 def keep_one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one row of each class of near-duplicates, that of the least doc_id; rows that agree in doc_id and text are one document."""
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    kept = ngram_classes(docs, **options).where("doc_id <=> class_id AND digest = class_digest").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept")).distinct()
-    marked = docs.withColumn("__digest", digest)
-    found = marked.join(kept, (F.col("__digest") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    kept = ngram_classes(docs, **options).where("doc_id <=> class_id AND digest = class_digest").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("digest"))
+    found = held.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return found.dropDuplicates(["id", "digest"]).select("row.*")
