@@ -257,14 +257,15 @@ def _windows_to_learn(texts: list[list[bytes]], toxic: np.ndarray, rng: np.rando
 
 
 def fit(labelled: list[tuple[int, str]], *, steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> GruModel:
-    """A model from (label, text) pairs; without both labels, one that scores everything by the share of toxic ones."""
+    """A model from (label, text) pairs; without both labels, one that scores everything far to the side of the only one (of 0 without any)."""
     rng = np.random.default_rng(seed)
     texts = [pieces(words(text.encode())) for _, text in labelled]
     toxic = np.array([label == 1 for label, _ in labelled], dtype=bool)
-    model = GruModel.fresh(_telling_words(texts, toxic), seed)
     if not toxic.any() or toxic.all():
+        model = GruModel.fresh([], seed)
         model.scale, model.shift = 0.0, 4.0 if len(toxic) and toxic.all() else -4.0
         return model
+    model = GruModel.fresh(_telling_words(texts, toxic), seed)
     windows, labels = _windows_to_learn(texts, toxic, rng)
     sides = [np.flatnonzero(labels), np.flatnonzero(~labels)]
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
