@@ -10,7 +10,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from ..plans.policies import Options, policy
@@ -26,24 +26,24 @@ def _fail(what: str) -> None:
 
 
 def text(value: object) -> str:
-    return value if type(value) is str else _fail("Wrong JSON type")
+    return value if type(value) is str else _fail("value of another type")
 
 
 def flag(value: object) -> bool:
-    return value if type(value) is bool else _fail("Wrong JSON type")
+    return value if type(value) is bool else _fail("value of another type")
 
 
 def count(value: object) -> int:
-    return value if type(value) is int and value >= 0 else _fail("Wrong JSON type or negative count")
+    return value if type(value) is int and value >= 0 else _fail("not a count")
 
 
 def size(value: object) -> int:
     """Sizes are decimal strings, so that no reader rounds them."""
-    return int(value) if type(value) is str and _WHOLE.fullmatch(value) else _fail("Expected canonical decimal string")
+    return int(value) if type(value) is str and _WHOLE.fullmatch(value) else _fail("not a size: digits in a string, without leading zeros")
 
 
 def one_of(*allowed: str) -> Check:
-    return lambda value: value if type(value) is str and value in allowed else _fail("Invalid value")
+    return lambda value: value if type(value) is str and value in allowed else _fail("none of the allowed words")
 
 
 def maybe(check: Check) -> Check:
@@ -51,11 +51,11 @@ def maybe(check: Check) -> Check:
 
 
 def many(check: Check) -> Check:
-    return lambda value: [check(v) for v in value] if type(value) is list else _fail("Expected array")
+    return lambda value: [check(v) for v in value] if type(value) is list else _fail("not a list")
 
 
 def mapping(check: Check) -> Check:
-    return lambda value: {text(k): check(v) for k, v in value.items()} if type(value) is dict else _fail("Expected mapping")
+    return lambda value: {text(k): check(v) for k, v in value.items()} if type(value) is dict else _fail("not a table of names")
 
 
 @dataclass(frozen=True)
@@ -65,36 +65,37 @@ class Shape:
     rule: Callable[[dict], object] | None = None
 
     def __call__(self, value: object) -> dict:
-        if type(value) is not dict:
-            _fail("Expected object")
-        if set(value) - set(self.fields) or set(self.fields) - set(value) - self.optional:
-            _fail("Missing or unknown fields")
-        out = {name: check(value[name]) for name, check in self.fields.items() if name in value}
+        given = value.keys() if type(value) is dict else _fail("not an object")
+        if strange := given - self.fields.keys() or self.fields.keys() - given - self.optional:
+            _fail(f"field {min(strange)} is unknown or missing")
+        found = {name: self.fields[name](value[name]) for name in self.fields if name in given}
         if self.rule:
-            self.rule(out)
-        return out
+            self.rule(found)
+        return found
 
 
 def _version(value: object) -> int:
-    return value if type(value) is int and value == 1 else _fail("Invalid version")
+    return value if type(value) is int and value == 1 else _fail("unknown schema version")
 
 
 def _decision_rule(d: dict) -> None:
     if (d["action"] == "skip") != (d["targetPath"] is None) or d["targetPath"] == "":
-        _fail("Invalid action target path")
+        _fail("a path is given exactly where the entry stays, and is not empty")
 
 
 def _plan_rule(p: dict) -> None:
     options = p["targetOptions"]
     Options(options["rootUnits"], options["componentLimit"], options["pathLimit"], options["directoryPathLimit"], options["unicodeVersion"]).checked(policy(p["profileId"]))
     if p.get("unicodeVersion", unicodedata.unidata_version) != unicodedata.unidata_version or p.get("profileVersion", "portability-v1") != "portability-v1":
-        _fail("Invalid plan policy version")
+        _fail("made under other rules")
 
 
 def _result_rule(r: dict) -> None:
-    known = [r["actualFiles"] is not None, r["actualDirectories"] is not None, r["actualBytes"] is not None]
-    if not all(known) and (r["status"] == "verified" or any(known) or "ACTUAL_COUNTS_UNAVAILABLE" not in [d["code"] for d in r["diagnostics"]]):
-        _fail("Unavailable actual counts require explicit failure evidence")
+    """Counts are known together or not at all, and where they are not, a failure says why."""
+    unknown = {name for name in ("actualFiles", "actualDirectories", "actualBytes") if r[name] is None}
+    explained = any(d["code"] == "ACTUAL_COUNTS_UNAVAILABLE" for d in r["diagnostics"])
+    if unknown and not (len(unknown) == 3 and explained and r["status"] != "verified"):
+        _fail("counts are missing without a failure that explains it")
 
 
 OPTIONS = Shape({"rootUnits": size, "componentLimit": maybe(count), "pathLimit": maybe(count), "directoryPathLimit": maybe(count), "unicodeVersion": text})
@@ -126,11 +127,11 @@ RESULT = Shape(
 
 def _unique(pairs: list[tuple[str, object]]) -> dict:
     out = dict(pairs)
-    return out if len(out) == len(pairs) else _fail("Duplicate JSON key")
+    return out if len(out) == len(pairs) else _fail("a field comes twice")
 
 
 def _integer(token: str) -> int:
-    return int(token) if _WHOLE.fullmatch(token) else _fail("Noncanonical JSON integer")
+    return int(token) if _WHOLE.fullmatch(token) else _fail("an integer with leading zeros or a sign")
 
 
 def load(source: str, shape: Shape, *, max_bytes: int = PLAN_BYTES, too_long: str = "PLAN_INPUT_LIMIT") -> dict:
@@ -138,20 +139,21 @@ def load(source: str, shape: Shape, *, max_bytes: int = PLAN_BYTES, too_long: st
     if type(source) is not str or len(source) > max_bytes or len(source.encode()) > max_bytes:
         _fail(too_long)
     try:
-        return shape(json.loads(source, object_pairs_hook=_unique, parse_int=_integer, parse_constant=lambda _: _fail("Invalid JSON constant")))
+        return shape(json.loads(source, object_pairs_hook=_unique, parse_int=_integer, parse_constant=lambda _: _fail("not a finite number")))
     except (TypeError, RecursionError, UnicodeError) as error:
-        raise ValueError("Invalid JSON document") from error
+        raise ValueError("not a JSON document") from error
+
+
+def _bounded(parts: Iterable[str], room: int) -> Iterator[str]:
+    for part in parts:
+        room -= len(part)
+        yield part if room >= 0 else _fail("EXPORT_LIMIT")
 
 
 def dump(value: object, *, max_bytes: int = EXPORT_BYTES) -> str:
     """ASCII JSON with sorted keys and no blanks; stops as soon as it is too long."""
-    parts, length = [], 0
-    for part in json.JSONEncoder(ensure_ascii=True, sort_keys=True, separators=(",", ":"), allow_nan=False).iterencode(value):
-        length += len(part)
-        if length > max_bytes:
-            _fail("EXPORT_LIMIT")
-        parts.append(part)
-    return "".join(parts)
+    encoder = json.JSONEncoder(sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return "".join(_bounded(encoder.iterencode(value), max_bytes))
 
 
 def write_new(path: str, content: str, *, inputs: tuple[str, ...] = ()) -> None:
