@@ -3,13 +3,16 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests import zips
 from tidemark.api import Preflight
 from tidemark.operators import collisions, draft, tree
+from tidemark.plans import golden
 from tidemark.plans.listings import zip_contents
 from tidemark.plans.policies import LINUX, WINDOWS, ExtractLimits, Options, ScanLimits, policy, root_units
 from tidemark.plans.queries import QUERIES
@@ -255,3 +258,10 @@ def test_candidate_decode_reads_whole_texts(spark, tmp_path):
         wanted, row = readings(text.encode(), b"", 0), found[3 * k + 1]
         assert (row.n_readings, row.first_id, row.sources) == (len(wanted), wanted[0]["candidate_id"], ",".join(w["source"] for w in wanted))
     assert len({r.first_id for r in found.values()}) == 4
+
+
+@pytest.mark.parametrize("name", list(golden.QUERIES))
+def test_small_archives_give_the_known_results(spark, name):
+    found, wanted = golden.QUERIES[name](spark, ""), duckdb.sql(golden.ORACLES[name])
+    assert found.columns == wanted.columns
+    assert Counter(map(tuple, found.collect())) == Counter(wanted.fetchall())

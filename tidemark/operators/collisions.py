@@ -77,8 +77,10 @@ def collision_groups(found: DataFrame, target: Policy) -> DataFrame:
     )
 
 
-def within_budget(groups: DataFrame, found: DataFrame, target: Policy, limit: int) -> DataFrame:
-    """The groups that a report takes before their entry and node ids exceed `limit` in an archive, with `exceeded` added.
+def within_budget(groups: DataFrame, found: DataFrame, target: Policy, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The groups that a report takes before their entry and node ids exceed `limit` in an archive, with `exceeded` added, and the archives that exceed it.
+
+    Such an archive may be left without any group.
 
     Groups come rule by rule and, within a rule, parents before children and later
     first appearances before earlier ones. Archives within the limit, as good as all, skip the ordering.
@@ -88,7 +90,7 @@ def within_budget(groups: DataFrame, found: DataFrame, target: Policy, limit: in
     totals = groups.groupBy("archive").agg(F.sum(size).alias("members"))
     over = Table(totals.where(F.col("members") > limit).select("archive"), "over").df
     if not over.limit(1).count():
-        return groups.withColumn("exceeded", F.lit(False))
+        return groups.withColumn("exceeded", F.lit(False)), over
     simple = groups.join(over, "archive", "left_anti").withColumn("exceeded", F.lit(False))
     numbered = found.join(over, "archive", "left_semi").withColumn(
         "ordinal", F.row_number().over(Window.partitionBy("archive").orderBy(F.col("kind") == "file", F.when(F.col("kind") == "directory", F.col("parts")), "index"))
@@ -104,4 +106,4 @@ def within_budget(groups: DataFrame, found: DataFrame, target: Policy, limit: in
     )
     before = Window.partitionBy("archive").orderBy("rule_no", "order").rowsBetween(Window.unboundedPreceding, 0)
     ordered = groups.join(steps, ["archive", "rule", "key"]).withColumn("running", F.sum(size).over(before))
-    return simple.unionByName(ordered.where(F.col("running") <= limit).drop("order", "running").withColumn("exceeded", F.lit(True)))
+    return simple.unionByName(ordered.where(F.col("running") <= limit).drop("order", "running").withColumn("exceeded", F.lit(True))), over
