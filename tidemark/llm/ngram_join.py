@@ -217,13 +217,14 @@ def ngram_classes(
         joined = components(verified.df.where("set_key <> root").select(F.col("set_key").alias("a"), F.col("root").alias("b")))
         linked = linked.join(joined, F.col("set_key") == F.col("node"), "left").select("set_key", "links", F.coalesce("component", "set_key").alias("root"))
     candidates_rep = candidates.df.select("set_key", "rep")
-    classes = linked.join(candidates_rep, "set_key")
-    named = classes.groupBy("root").agg(F.min("rep").alias("class_rep"))
-    placed = Table(classes.join(named, "root").select("set_key", "class_rep", "links"), "placed")
+    # Read back bare, so that adaptive execution can split the sets of one class in the join.
+    classes = Table(linked.join(candidates_rep, "set_key"), "classes")
+    named = Table(classes.df.groupBy("root").agg(F.min("rep").alias("class_rep")), "classes")
+    placed = Table(classes.df.join(named.df, "root").select("set_key", "class_rep", "links"), "placed")
     of_sets = sets.df.select("set_key", "rep", "copies").join(placed.df, "set_key", "left")
     of_sets = of_sets.select("set_key", F.coalesce("class_rep", "rep").alias("class_rep"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     of_sets = Table(of_sets, "of-sets").df  # read back bare, so that adaptive execution can split the copies of one set in the join
-    for table in (candidates, verified, placed, sets):
+    for table in (candidates, verified, classes, named, placed, sets):
         table.drop()
     release(spark)
     return signed.df.select("doc_id", "digest", "set_key").join(of_sets, "set_key", "left").select(
