@@ -16,7 +16,7 @@ WORD_TABLE = bytes(
     for byte in range(256)
 )
 #: Texts handled at once, so that a batch of very long texts is not expanded in one go.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _CACHE_ENTRIES = 1 << 17
 
 
@@ -73,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
         for low, high in zip(edges, edges[1:]):
             yield batch.slice(low, high - low)
+        pa.default_memory_pool().release_unused()
 
 
 def with_columns(docs: DataFrame, added: str, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
