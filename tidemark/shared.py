@@ -6,6 +6,7 @@ stage, never the whole job so far; and a table read twice is computed once.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (one machine)."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{_KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
