@@ -28,7 +28,11 @@ _LONGEST = 48
 _RESCALE = 16
 #: Places of words in one table of forward sums; words beyond it are summed place by place, with the last few sums alone.
 _TABLE_PLACES = 1 << 16
-_CACHE_ENTRIES, _CACHE_LETTERS = 1 << 18, 1 << 23
+_CACHE_ENTRIES, _CACHE_LETTERS = 1 << 19, 1 << 23
+#: Bits of an edge's piece, letters and word, and where its word and end start.
+_PIECE_BITS, _LETTER_BITS, _WORD_BITS = 22, 10, 13
+_WORD_AT = _PIECE_BITS + _LETTER_BITS
+_END_AT = _WORD_AT + _WORD_BITS
 #: Probability of a letter that is no piece of the vocabulary, the same in every language.
 _UNKNOWN = 1e-5
 
@@ -61,14 +65,15 @@ class Lattice:
         return cls([model.id_to_piece(k) for k in range(model.get_piece_size()) if not special(k)])
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, int]:
-        """Rows (end, word, start, piece), sorted, and the greatest end; a word starts with the space mark."""
-        rows: list[tuple[int, int, int, int]] = []
-        ids, prefixes, unknown = self.ids, self.prefixes, self.unknown
+        """Columns end, word, start and piece of all edges, by end and word, and the greatest end; a word starts with the space mark."""
+        rows: list[int] = []  # an edge as one number: end, word, letters and piece
+        ids, prefixes, unknown = self.ids, self.prefixes, self.unknown + (1 << _PIECE_BITS)
         longest = 0
         for number, word in enumerate(words):
             marked = "▁" + word
             n = len(marked)
             longest = max(longest, n)
+            own = number << _WORD_AT
             for start in range(n):
                 single = False
                 for end in range(start + 1, n + 1):
@@ -77,12 +82,14 @@ class Lattice:
                         break
                     piece = ids.get(part)
                     if piece is not None:
-                        rows.append((end, number, start, piece))
+                        rows.append((end << _END_AT) + own + (end - start << _PIECE_BITS) + piece)
                         single = single or end == start + 1
                 if not single:
-                    rows.append((start + 1, number, start, unknown))
-        table = np.array(rows, dtype=np.int64).reshape(-1, 4)
-        return table[np.lexsort((table[:, 1], table[:, 0]))], longest
+                    rows.append((start + 1 << _END_AT) + own + unknown)
+        packed = np.sort(np.array(rows, dtype=np.int64))
+        end = packed >> _END_AT
+        start = end - ((packed >> _PIECE_BITS) & ((1 << _LETTER_BITS) - 1))
+        return np.stack([end, (packed >> _WORD_AT) & ((1 << _WORD_BITS) - 1), start, packed & ((1 << _PIECE_BITS) - 1)]), longest
 
     def forward(self, words: list[str], probability: np.ndarray, scaled: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
         """Forward sums (word, place, language), the edges, the stretch of edges that end at each place, and logarithms to add to the last sums."""
@@ -91,10 +98,10 @@ class Lattice:
         alpha[:, 0] = 1
         logs = np.zeros((len(words), probability.shape[1]))
         ends = np.array([len(word) + 1 for word in words])
-        cuts = np.searchsorted(edges[:, 0], np.arange(1, longest + 2))
+        cuts = np.searchsorted(edges[0], np.arange(1, longest + 2))
         steps = [(cuts[k], cuts[k + 1]) for k in range(longest)]
         for end, (low, high) in enumerate(steps, 1):
-            _, number, start, piece = edges[low:high].T
+            _, number, start, piece = edges[:, low:high]
             first = np.flatnonzero(np.diff(number, prepend=-1))
             if len(first):
                 alpha[number[first], end] = np.add.reduceat(alpha[number, start] * probability[piece], first)
@@ -161,7 +168,7 @@ class Lattice:
             beta = np.zeros_like(alpha)
             beta[rows, ends] = weights[part] / np.maximum(alpha[rows, ends], 1e-300)
             for low_edge, high_edge in reversed(steps):
-                end, number, start, piece = edges[low_edge:high_edge].T
+                end, number, start, piece = edges[:, low_edge:high_edge]
                 flow = probability[piece] * beta[number, end]
                 np.add.at(beta, (number, start), flow)
                 np.add.at(counts, piece, alpha[number, start] * flow)
