@@ -54,3 +54,13 @@ def test_run(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and found.count() > 50
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    (tmp_path / "full").mkdir()
+    tables(tmp_path / "full")
+    for name in ("documents", "labels", "benchmark"):
+        pq.write_table(pq.read_table(tmp_path / "full" / f"{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    pq.write_table(pq.read_table(tmp_path / "full" / "documents.parquet"), tmp_path / "documents.parquet")  # neither labels nor a benchmark
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 50
