@@ -291,9 +291,8 @@ def brute_verdict(url):
     return host, path, best[3], best[2]
 
 
-@pytest.mark.parametrize("shapes, broadcast", [(256, 100), (0, 100), (256, 0)])
-def test_url_rules_equal_brute_force(spark, monkeypatch, shapes, broadcast):
-    monkeypatch.setattr(url_filter, "_SHAPES", shapes)
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_url_rules_equal_brute_force(spark, broadcast):
     pages = spark.createDataFrame([(k if k != 4 else None, u, "h", "r", "v") for k, u in enumerate(URLS)], "page_id long, url string, host string, rule string, verdict string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     found = url_filter.judge_urls(pages, rules, broadcast_rules=broadcast).collect()
@@ -302,6 +301,16 @@ def test_url_rules_equal_brute_force(spark, monkeypatch, shapes, broadcast):
     assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
 
 
+def test_url_rules_of_many_shapes(spark):
+    rules = spark.createDataFrame([("a." * k + "org", "/" + "p" * n, "block" if n % 2 else "allow") for k in range(3) for n in range(0, 400, 1 + k)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(n, "http://b.a.a.org/" + "p" * n + "?q") for n in (0, 1, 7, 250, 399, 900)], "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    for n, (rule, verdict) in found.items():
+        fits = [("a." * k + "org/" + "p" * m, m) for k in range(3) for m in range(0, 400, 1 + k) if m <= n]
+        longest = max(fits, key=lambda f: len(f[0]))
+        assert (rule, verdict) == (longest[0], "block" if longest[1] % 2 else "allow")
+
+
 # --- 5 ---------------------------------------------------------------
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -508,6 +517,8 @@ def test_decontamination_equals_brute_force(spark, rows, block_bytes, none):
     assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r.hit_items), r.contaminated) for r in found) == brute_hits(some, items)
     assert not any(r.contaminated for r in decontaminate.benchmark_hits(data.documents(spark, some), benchmark.where("false")).collect())
     assert decontaminate.benchmark_hits(none, benchmark).count() == 0
+    twice = decontaminate.benchmark_hits(data.documents(spark, some), benchmark.union(benchmark), block_bytes=block_bytes)
+    assert sorted(r.n_hit for r in twice.collect()) == sorted(r.n_hit for r in found)
 
 
 # --- 8 ---------------------------------------------------------------

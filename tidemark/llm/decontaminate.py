@@ -151,13 +151,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, bl
 
     Defined cases: a null text has no words; an item without words has no window;
     an item with a null id hits words but is not named; items of one id count
-    once; repeated documents are each judged; an empty benchmark hits nothing;
+    once, and repeated items are dropped before they are dealt into blocks; repeated documents are each judged; an empty benchmark hits nothing;
     other columns of `docs` pass through, those of `benchmark` are not read.
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items", "n_hit", "n_items", "contaminated")]
     state, held = docs.select(*own), None
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.encode("text", "UTF-8").alias("raw")).where("raw IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.encode("text", "UTF-8").alias("raw")).where("raw IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     schema = "n_words long, hit_spans array<struct<start:long,end:long>>, hit_items array<string>"

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: More distinct rule shapes than this are not written out one by one; every expression is made instead.
-_SHAPES = 256
 
 
 def url_host(url: Column) -> Column:
@@ -31,6 +29,14 @@ def _digest(expression: Column) -> Column:
     return F.unhex(F.sha2(expression, 256))
 
 
+def _expressions(host_labels: Column, labels: int, lengths: list[int]) -> Column:
+    """The host's last `labels` labels, each time with the path's beginning of one of the given lengths; none for a shorter host or path."""
+    suffix = F.array_join(F.slice(host_labels, -labels, labels), ".")
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
+    beginnings = F.transform(fitting, lambda n: F.concat(suffix, F.substring(F.col("path"), F.lit(1), n)))
+    return F.when(F.size(host_labels) >= labels, beginnings).otherwise(F.array().cast("array<string>"))
+
+
 def judge_urls(
     pages: DataFrame,
     rules: DataFrame,
@@ -52,6 +58,8 @@ def judge_urls(
     rules (any column) fit nothing; repeated rows of either table change no
     verdict, and every row of `pages` is kept; other columns of `pages` are not read.
     Rules are broadcast up to `broadcast_rules` rows and joined by shuffle beyond.
+    Expressions are made for the label counts and path lengths that rules have,
+    of which the driver gets one row a label count.
     """
     located = pages.select(
         F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")
@@ -66,21 +74,15 @@ def judge_urls(
         .withColumn("rule_digest", _digest(F.col("rule")))
         .withColumn("prefix", F.substring("rule_digest", 1, prefix_bytes))
     )
-    shapes = known.select("labels", F.length("rule_path").alias("n")).distinct().limit(_SHAPES + 1).collect()
-    suffix = lambda k: F.substring_index("host", ".", -k)
-    if len(shapes) <= _SHAPES:
-        listed = [F.when(F.length("path") >= n, F.concat(suffix(k), F.substring("path", 1, n))) for k, n in shapes]
-        expressions = F.array_compact(F.array(*listed)) if listed else F.array().cast("array<string>")
-    else:
-        dots = F.sequence(F.lit(1), F.size(F.split("host", r"\.")))
-        ends = F.sequence(F.lit(0), F.length("path"))
-        suffixes = F.transform(dots, lambda k: F.array_join(F.slice(F.split("host", r"\."), -k, k), "."))
-        expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(ends, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
+    shapes = known.groupBy("labels").agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths")).orderBy("labels").collect()
+    host_labels = F.split("host", r"\.")
+    listed = [_expressions(host_labels, row.labels, row.lengths) for row in shapes]
+    expressions = F.flatten(F.array(*listed)) if listed else F.array().cast("array<string>")
     expanded = (
         located.where("host <> ''")
         .select("host", "path")
         .distinct()
-        .select("host", "path", F.explode(F.array_distinct(expressions)).alias("expression"))
+        .select("host", "path", F.explode(expressions).alias("expression"))
         .withColumn("digest", _digest(F.col("expression")))
         .withColumn("prefix", F.substring("digest", 1, prefix_bytes))
         .drop("expression")
