@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from collections import Counter
 
@@ -209,9 +210,30 @@ def test_failed_extraction_leaves_nothing(tmp_path):
     plan = {"plan_id": "p", "archive_id": listing.archive_id, "extractable": True, "resolved": {"e000001": "a", "e000002": "b"}, "kinds": {"e000001": "file", "e000002": "file"}}
     result = extraction.extract_archive(Ranged.of(data), plan, "p", str(tmp_path / "out"))
     assert (result["status"], result["error"], result["cleanup"]) == ("failed", "CONTENT_SIZE_CRC_MISMATCH", "removed")
+    assert (result["removed_files"], result["removed_directories"]) == (2, 1)
     assert list(tmp_path.iterdir()) == []
 
 
+@pytest.mark.parametrize("change", ["added", "replaced", "linked", "missing"])
+def test_cleanup_leaves_what_others_touched(tmp_path, change):
+    tree = extraction.Tree(str(tmp_path / "out"), ExtractLimits())
+    tree.write(("d", "a"), iter([b"1"]))
+    own = f"{tree.root}/d/a"
+    if change == "added":
+        open(f"{tree.root}/d/b", "w").close()
+    elif change == "replaced":
+        os.link(own, tmp_path / "kept")
+        os.unlink(own)
+        open(own, "w").close()
+    elif change == "linked":
+        os.rename(f"{tree.root}/d", tmp_path / "d")
+        os.symlink(tmp_path / "d", f"{tree.root}/d")
+    else:
+        os.unlink(own)
+    before = sorted(os.listdir(tree.root))
+    assert tree.remove() == ("retained_ownership_unknown", 0, 0) and sorted(os.listdir(tree.root)) == before
+
+
 def test_source_reads_files(spark, tmp_path):
     for name, data in (("a", zips.make(["x"])), ("b", EIGHT)):
         (tmp_path / f"{name}.zip").write_bytes(data)

@@ -7,7 +7,7 @@ import pytest
 
 from tests import zips
 from tidemark import cli
-from tidemark.plans.policies import Options
+from tidemark.plans.policies import Options, policy
 from tidemark.sources import documents as D
 
 ROW = {"entry_id": "e000001", "action": "keep", "target_path": "a", "encoding_candidate_id": None, "name_confirmed": True}
@@ -87,3 +87,49 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["extract", str(archive), str(plan), "--accept-plan", "no", "--output", str(tmp_path / "out")], spark) == 2
     assert cli.main(["extract", str(archive), str(plan), "--accept-plan", plan_id, "--output", str(tmp_path / "out")], spark) == 0
     assert (tmp_path / "out" / plan_id / "_CON.txt").read_bytes() == b"x"
+
+
+def report(**more):
+    raw = {"entryId": "e1", "index": 0, "centralOffset": "0", "rawNameBase64": "YQ==", "rawExtraBase64": "", "flags": 0, "method": 0, "crc32": 1, "compressedBytes": "1", "declaredBytes": "1", "localOffset": "0", "createSystem": 3, "externalAttr": 0}
+    reading = {"candidateId": "c1", "text": "a", "source": "ascii", "valid": True, "evidence": [], "certainty": "config_rule"}
+    entry = {"entryId": "e1", "index": 0, "raw": raw, "candidates": [reading], "selectedCandidateId": None, "defaultDisplayName": "a", "nameState": "unambiguous", "entryType": "file", "sourceParts": ["a"], "componentUnits": [1], "pathUnits": "1", "diagnosticIds": []}
+    limits = {"archiveBytes": str(8 << 30), "centralBytes": "1", "entries": 50000, "nameBytes": "4096", "depth": 64, "groupMembers": 1, "planBytes": "1", "exportBytes": "1", "seconds": 30}
+    options = {"rootUnits": "5", "componentLimit": None, "pathLimit": 1023, "directoryPathLimit": None, "unicodeVersion": unicodedata.unidata_version}
+    tables = {"entries": [entry], "logicalDirectories": [], "collisionGroups": [], "diagnostics": [], "transformations": []}
+    checks = {"schemaVersion": 1, "contentVerified": False, "localHeadersVerified": False}
+    return json.dumps({"archiveId": "x", "runtime": {}, "profile": D.profile_document(policy("macos-ci")), "options": options, "complete": True, "state": "ok", "summary": {"entries": 1}, "limits": limits} | tables | checks | more)
+
+
+def test_reports_are_read():
+    found = D.load_report(report())
+    assert found["entries"][0]["raw"]["rawNameBase64"] == b"a" and found["limits"]["archiveBytes"] == 8 << 30 and found["profile"]["units"] == "utf8"
+    with pytest.raises(ValueError, match="REPORT_INPUT_LIMIT"):
+        D.load_report(report(), max_bytes=100)
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        report(contentVerified=True),
+        report(contentVerified=0),
+        report(state="fine"),
+        report(extra=1),
+        report(profile=D.profile_document(policy("macos-ci")) | {"pathLimit": 2000}),
+        report(profile=D.profile_document(policy("windows"))),
+        report().replace('"YQ=="', '"YR=="'),
+        report().replace('"YQ=="', '"Y Q="'),
+        report().replace('"seconds": 30', '"seconds": 31'),
+        report().replace('"nameBytes": "4096"', '"nameBytes": "4097"'),
+        report().replace('"depth": 64', '"depth": true'),
+    ],
+)
+def test_bad_reports(bad):
+    with pytest.raises(ValueError):
+        D.load_report(bad)
+
+
+@pytest.mark.parametrize("name", list(D.SHAPES))
+def test_schemas_name_every_field(name):
+    found = json.loads(D.dump(D.json_schema(D.SHAPES[name])))
+    assert set(found["properties"]) == set(D.SHAPES[name].fields) and set(found["required"]) == set(D.SHAPES[name].fields) - D.SHAPES[name].optional
+    assert found["additionalProperties"] is False and found["properties"]["schemaVersion"] == {"const": 1}

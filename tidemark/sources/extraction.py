@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-import shutil
+import stat
 import time
 import uuid
 import zlib
@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 from ..plans.policies import ExtractLimits
 from .wire import Budget, Extent, Listing, Ranged, Rejected, extents, member_chunks, scan
 
-ROW = "archive string, plan_id string, status string, error string, files long, directories long, bytes long, cleanup string, written array<struct<entry_id:string,target_path:string,kind:string,size:long,crc32:long,sha256:string>>"
+ROW = "archive string, plan_id string, status string, error string, files long, directories long, bytes long, cleanup string, removed_files long, removed_directories long, written array<struct<entry_id:string,target_path:string,kind:string,size:long,crc32:long,sha256:string>>"
+
+
+def _identity(info: os.stat_result) -> tuple[int, int, int]:
+    return info.st_dev, info.st_ino, stat.S_IFMT(info.st_mode)
 
 
 class Tree:
@@ -35,6 +39,7 @@ class Tree:
         self.final, self.root, self.limits = final, f"{final}.attempt-{uuid.uuid4().hex}", limits
         os.makedirs(os.path.dirname(final) or ".", exist_ok=True)
         os.mkdir(self.root)
+        self.made = {self.root: _identity(os.lstat(self.root))}
         self.folders: set[tuple[str, ...]] = set()
         self.files: set[tuple[str, ...]] = set()
 
@@ -50,7 +55,9 @@ class Tree:
             if parts[:k] not in self.folders:
                 if len(self.folders) >= self.limits.directories:
                     raise ValueError("ACTUAL_DIRECTORY_LIMIT")
-                os.mkdir(self.path(parts[:k]))
+                path = self.path(parts[:k])
+                os.mkdir(path)
+                self.made[path] = _identity(os.lstat(path))
                 self.folders.add(parts[:k])
 
     def write(self, parts: tuple[str, ...], chunks: Iterator[bytes]) -> tuple[int, int, str]:
@@ -59,6 +66,7 @@ class Tree:
         self.folder(parts[:-1])
         size, crc, digest = 0, 0, hashlib.sha256()
         with open(self.path(parts), "xb") as out:
+            self.made[out.name] = _identity(os.fstat(out.fileno()))
             self.files.add(parts)
             for chunk in chunks:
                 out.write(chunk)
@@ -92,19 +100,42 @@ class Tree:
         except OSError:
             raise ValueError("OUTPUT_ALREADY_EXISTS") from None
 
-    def remove(self) -> str:
-        """Removes this attempt's folder, and nothing else."""
+    def untouched(self) -> bool:
+        """Whether the folder holds the files and directories that this attempt made, and nothing else."""
+
+        def stop(error: OSError) -> None:
+            raise error
+
+        found = {self.root}.union(*({os.path.join(base, name) for name in names + leaves} for base, names, leaves in os.walk(self.root, onerror=stop)))
+        return found == set(self.made) and all(_identity(os.lstat(path)) == known for path, known in self.made.items())
+
+    def remove(self) -> tuple[str, int, int]:
+        """Removes what this attempt made, deepest first: how that went, and the files and directories removed.
+
+        A folder with anything else in it, or with something put in the place of its own, is left as it is.
+        """
+        gone = [0, 0]
+        try:
+            if not self.untouched():
+                return "retained_ownership_unknown", *gone
+        except OSError:
+            return "retained_ownership_unknown", *gone
         try:
-            shutil.rmtree(self.root)
-            return "removed"
+            for path in sorted(self.made, key=lambda p: (p.count(os.sep), p), reverse=True):
+                if _identity(os.lstat(path)) != self.made[path]:
+                    return "retained_ownership_unknown", *gone
+                folder = stat.S_ISDIR(self.made[path][2])
+                (os.rmdir if folder else os.unlink)(path)
+                gone[folder] += 1
         except OSError:
-            return "cleanup_failed"
+            return "cleanup_failed", *gone
+        return "removed", *gone
 
 
 def extract_archive(source: Ranged, plan: dict, accept_plan_id: str, final: str, limits: ExtractLimits = ExtractLimits()) -> dict:
     """Writes a validated plan's members under `final`. `plan` has plan_id, archive_id, extractable, resolved (entry id to path) and kinds (entry id to type)."""
     began = time.monotonic()
-    result = {"status": "failed", "error": None, "files": 0, "directories": 0, "bytes": 0, "cleanup": "not_created", "written": []}
+    result = {"status": "failed", "error": None, "files": 0, "directories": 0, "bytes": 0, "cleanup": "not_created", "removed_files": 0, "removed_directories": 0, "written": []}
     tree: Tree | None = None
 
     def timed(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -156,7 +187,7 @@ def extract_archive(source: Ranged, plan: dict, accept_plan_id: str, final: str,
     except (ValueError, Rejected, OSError) as error:
         result["error"] = "EXTRACTION_IO_ERROR" if isinstance(error, OSError) else getattr(error, "code", str(error))
         if tree:
-            result["cleanup"] = tree.remove()
+            result["cleanup"], result["removed_files"], result["removed_directories"] = tree.remove()
     if tree:
         result |= {"files": len(tree.files), "directories": len(tree.folders)}
     return result
