@@ -7,7 +7,8 @@ import pytest
 
 from tests import zips
 from tidemark import cli
-from tidemark.plans.policies import Options, policy
+from tidemark.api import Preflight
+from tidemark.plans.policies import POLICIES, Options, policy
 from tidemark.sources import documents as D
 
 ROW = {"entry_id": "e000001", "action": "keep", "target_path": "a", "encoding_candidate_id": None, "name_confirmed": True}
@@ -128,6 +129,33 @@ def test_bad_reports(bad):
         D.load_report(bad)
 
 
+def test_demo(spark, tmp_path, capsys):
+    out = tmp_path / "demo"
+    assert cli.main(["demo", "--target", "linux", "--output", str(out)], spark) == 1
+    found = {p.stem: D.load_report(p.read_text().rstrip("\n")) for p in out.glob("*-v1.json")}
+    assert set(found) == set(POLICIES)
+    names = {name: sorted({d["code"] for d in r["diagnostics"]}) for name, r in found.items()}
+    assert "WINDOWS_DEVICE_NAME" in names["windows-win32-conservative-v1"] and "WINDOWS_DEVICE_NAME" not in names["linux-posix-bytes-v1"]
+    assert all({"PATH_TRAVERSAL", "SPECIAL_TYPE", "DECLARED_RATIO_RISK"} <= set(codes) for codes in names.values())
+    nfc = [g["originalKeys"] for g in found["macos-apfs-cs-advisory-v1"]["collisionGroups"] if g["ruleId"] == "nfc"]
+    assert nfc == [["nai\u0308ve.md", "na\u00efve.md"]]
+    for r in found.values():
+        assert [e["index"] for e in r["entries"]] == list(range(10)) and r["entries"][0]["raw"]["rawNameBase64"] == b"Notes.txt" and r["summary"]["entries"] == 10
+    assert [g["originalKeys"] for g in found["windows-win32-conservative-v1"]["collisionGroups"] if g["ruleId"] == "ascii-case"] == [["Notes.txt", "notes.txt"]]
+    assert D.load((out / "draft.json").read_text().rstrip("\n"), D.MAPPING)["profileId"] == "linux-posix-bytes-v1"
+    assert cli.main(["demo", "--output", str(out)], spark) == 2
+    assert cli.main(["schema", "report"]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1]) == D.json_schema(D.REPORT)
+
+
+def test_reports_of_archives_without_entries(spark):
+    contents = spark.createDataFrame([("none", bytearray(zips.make([]))), ("text", bytearray(b"no archive")), ("short", bytearray(zips.make(["a"], count=9)))], "archive string, content binary")
+    flight = Preflight.of_contents(contents, "linux", Options(root_units=5))
+    found = {r.archive: D.load_report(r.document) for r in flight.report_documents().collect()}
+    assert found["none"]["entries"] == [] and found["none"]["state"] == "ok" and found["none"]["collisionGroups"] == []
+    assert found["text"]["state"] == "unsupported" and found["text"]["archiveId"] == "" and len(found["text"]["diagnostics"]) == 1
+    assert found["short"]["complete"] is False and found["short"]["state"] == "invalid" and len(found["short"]["entries"]) == 1
+
+
 @pytest.mark.parametrize("name", list(D.SHAPES))
 def test_schemas_name_every_field(name):
     found = json.loads(D.dump(D.json_schema(D.SHAPES[name])))

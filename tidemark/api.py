@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import analysis, draft, validate
+from .operators import analysis, draft, reports, validate
 from .plans.policies import ExtractLimits, Options, Policy, ScanLimits, policy
 from .sources import archives, extraction
 
@@ -30,6 +30,10 @@ class Preflight:
     def inspect(self, choices: DataFrame | None = None) -> analysis.Report:
         return analysis.inspect(self.scans, self.entries, self.target, self.options, choices, self.limits)
 
+    def report_documents(self, report: analysis.Report | None = None) -> DataFrame:
+        """archive and document: the report of each archive as JSON."""
+        return reports.report_documents(self.scans, report or self.inspect(), self.target, self.options, self.limits)
+
     def draft(self, report: analysis.Report | None = None) -> DataFrame:
         report = report or self.inspect()
         return draft.suggest_plans(report.entries, report.directories, self.target, self.options)

@@ -1,4 +1,4 @@
-"""Command line: inspect archives, validate a plan, extract it.
+"""Command line: inspect archives, validate a plan, extract it, show a demonstration, print a document's schema.
 
 Exit codes: 0 clean, 1 findings, 2 invalid, 3 incomplete, unsupported or stopped by a limit.
 """
@@ -6,6 +6,8 @@ Exit codes: 0 clean, 1 findings, 2 invalid, 3 incomplete, unsupported or stopped
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from .api import Preflight
 from .operators import analysis
 from .plans.policies import ALIASES, POLICIES, ExtractLimits, Options, policy, root_units
-from .sources import documents
+from .sources import documents, synthetic
 
 _LIMITS = {"PLAN_INPUT_LIMIT", "EXPORT_LIMIT", "TARGET_DEPTH_LIMIT", "TARGET_TRIE_LIMIT"}
 
@@ -34,12 +36,17 @@ def _parser() -> argparse.ArgumentParser:
             command.add_argument("--target", required=True, choices=[*ALIASES, *POLICIES])
             command.add_argument("--target-root")
             command.add_argument("--plan", help="where to write the draft")
+            command.add_argument("--report", help="where to write the report")
         else:
             command.add_argument("plan")
         if name == "extract":
             command.add_argument("--accept-plan", required=True)
             command.add_argument("--output", required=True)
             command.add_argument("--seconds", type=float, default=60.0)
+    demo = commands.add_parser("demo")
+    demo.add_argument("--target", default="windows", choices=[*ALIASES, *POLICIES])
+    demo.add_argument("--output", required=True, help="a folder to be made")
+    commands.add_parser("schema").add_argument("document", choices=sorted(documents.SHAPES))
     return parser
 
 
@@ -50,6 +57,12 @@ def _plan_tables(spark: SparkSession, plan: dict, archive: str) -> tuple[DataFra
     return spark.createDataFrame(decisions, schema), spark.createDataFrame(folders, "archive string, plan_archive_id string, node_id string, target_path string")
 
 
+def _write_report(flight: Preflight, report: analysis.Report, path: str, inputs: tuple[str, ...]) -> None:
+    document = flight.report_documents(report).first().document
+    documents.load_report(document)
+    documents.write_new(path, documents.dump(json.loads(document)), inputs=inputs)
+
+
 def _inspect(spark: SparkSession, args: argparse.Namespace) -> int:
     target = policy(args.target)
     options = Options(root_units=root_units(args.target_root, target) if args.target_root else 0)
@@ -60,9 +73,11 @@ def _inspect(spark: SparkSession, args: argparse.Namespace) -> int:
     found = report.summary.withColumn("exit", analysis.scan_exit(F.col("complete"), F.col("state"), F.col("state") != "ok")).collect()
     for row in found:
         print(visible(row.archive), row.state, row.entries, row.directories, row.collision_groups)
+    if (args.plan or args.report) and len(found) != 1:
+        raise ValueError("Documents are written for one archive at a time")
+    if args.report:
+        _write_report(flight, report, args.report, (args.zip,))
     if args.plan:
-        if len(found) != 1:
-            raise ValueError("A draft is written for one archive at a time")
         decisions, folders = flight.drafted_plan()
         rows = [[r.asDict() for r in df.collect()] for df in (decisions.orderBy("entry_id"), folders.orderBy("node_id"))]
         documents.write_new(args.plan, documents.mapping_document(found[0].archive_id, target.profile_id, options, *rows), inputs=(args.zip,))
@@ -78,6 +93,27 @@ def _validated(spark: SparkSession, args: argparse.Namespace) -> tuple[Preflight
     return flight, flight.validate(*_plan_tables(spark, plan, archive.archive if archive else args.zip))
 
 
+def _demo(spark: SparkSession, args: argparse.Namespace) -> int:
+    """One archive with findings of all kinds, inspected under every profile; the draft is of the target's."""
+    os.mkdir(args.output)
+    within = lambda name: os.path.join(args.output, name)
+    with open(within("demo.zip"), "xb") as out:
+        out.write(synthetic.risky())
+    exits = {}
+    for target in POLICIES.values():
+        chosen = target == policy(args.target)
+        root = "C:\\delivery" if target.windows else "/delivery"
+        job = argparse.Namespace(zip=within("demo.zip"), target=target.profile_id, target_root=root, plan=within("draft.json") if chosen else None, report=within(f"{target.profile_id}.json"))
+        print(target.profile_id)
+        exits[chosen] = _inspect(spark, job)
+    return exits[True]
+
+
+def _schema(_: SparkSession | None, args: argparse.Namespace) -> int:
+    print(documents.dump(documents.json_schema(documents.SHAPES[args.document])))
+    return 0
+
+
 def _error(code: str) -> int:
     print(visible(code), file=sys.stderr)
     return 3 if code in _LIMITS else 2
@@ -103,9 +139,11 @@ def _extract(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
+    run = {"inspect": _inspect, "validate-plan": _validate, "extract": _extract, "demo": _demo, "schema": _schema}[args.command]
+    if run is not _schema:
+        spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
     try:
-        return {"inspect": _inspect, "validate-plan": _validate, "extract": _extract}[args.command](spark, args)
+        return run(spark, args)
     except (ValueError, OSError) as error:
         return _error(str(error))
 

@@ -103,13 +103,14 @@ def diagnostics(reports: DataFrame) -> DataFrame:
 
 @dataclass
 class Report:
-    """The tables of a report; `summary` has one row per archive, also of archives without entries."""
+    """The tables of a report; `summary` has one row per archive, also of archives without entries, `over` the archives beyond the group budget."""
 
     entries: DataFrame
     diagnostics: DataFrame
     directories: DataFrame
     groups: DataFrame
     summary: DataFrame
+    over: DataFrame
 
 
 def inspect(archives: DataFrame, entries: DataFrame, target: Policy, options: Options, choices: DataFrame | None = None, limits: ScanLimits = ScanLimits()) -> Report:
@@ -117,7 +118,7 @@ def inspect(archives: DataFrame, entries: DataFrame, target: Policy, options: Op
     reports = Table(entry_reports(entries, target, options, choices, limits), "reports").df
     directories = Table(tree.with_node_ids(tree.logical_directories(reports), reports), "directories").df
     found = collisions.objects(reports, directories)
-    groups, over = collisions.within_budget(collisions.collision_groups(found, target), found, target, limits.group_members)
+    groups, beyond = collisions.within_budget(collisions.collision_groups(found, target), found, target, limits.group_members)
     groups = Table(groups, "groups").df.withColumn("group_id", collisions.group_id("rule", "key", "entry_ids", "node_ids")).withColumn("comparison_key", F.col("key"))
     coded = diagnostics(reports)
     per = lambda df, *aggs: df.groupBy("archive").agg(*aggs)
@@ -126,7 +127,7 @@ def inspect(archives: DataFrame, entries: DataFrame, target: Policy, options: Op
         .join(per(reports, F.count(F.lit(1)).alias("entries"), F.bool_or(F.array_contains("codes", "DEPTH_LIMIT")).alias("deep"), F.sum(F.size("codes")).alias("n_codes")), "archive", "left")
         .join(per(directories, F.count(F.lit(1)).alias("directories"), F.sum((F.size("explicit_entry_ids") > 1).cast("int")).alias("n_doubled")), "archive", "left")
         .join(per(groups, F.count(F.lit(1)).alias("groups")), "archive", "left")
-        .join(over.withColumn("over", F.lit(True)), "archive", "left")
+        .join(beyond.withColumn("over", F.lit(True)), "archive", "left")
     )
     if choices is not None:
         counts = counts.join(per(unknown_choices(entries, choices), F.lit(True).alias("unknown")), "archive", "left")
@@ -145,7 +146,7 @@ def inspect(archives: DataFrame, entries: DataFrame, target: Policy, options: Op
         zero("directories").alias("directories"),
         zero("groups").alias("collision_groups"),
     )
-    return Report(reports, coded, directories, groups, summary)
+    return Report(reports, coded, directories, groups, summary, beyond)
 
 
 def scan_exit(complete: Column, state: Column, findings: Column) -> Column:

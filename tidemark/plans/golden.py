@@ -192,6 +192,29 @@ def encoding_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REPORTED: Rows = [
+    ("three", "20", "findings", 3, 0, 1, "UmVwb3J0LnR4dA==", 0), ("mixed", "20", "findings", 4, 3, 2, "RGlyL3g=", 0), ("nested", "20", "findings", 4, 4, 2, "RGlyL1N1Yi94", 1),
+    ("blocked", "20", "findings", 3, 0, 0, "Li4vYmFk", 0), ("devices", "20", "findings", 3, 0, 0, "Q09OLnR4dA==", 0),
+]
+
+
+def report_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as JSON documents, read back field by field: options, counts, the first raw name, directories with several records."""
+    read = lambda path: F.get_json_object("document", path)
+    doubled = F.filter(F.from_json(read("$.diagnostics"), "array<struct<code:string>>"), lambda d: d["code"] == "DUPLICATE_DIRECTORY_METADATA")
+    listed = lambda path: F.json_array_length(read(path)).cast("long")
+    return Preflight.of_contents(_contents(spark, DRAFTS), "windows", Options(root_units=20)).report_documents().select(
+        "archive",
+        read("$.options.rootUnits").alias("root_units"),
+        read("$.state").alias("state"),
+        listed("$.entries").alias("entries"),
+        listed("$.logicalDirectories").alias("directories"),
+        listed("$.collisionGroups").alias("collision_groups"),
+        read("$.entries[0].raw.rawNameBase64").alias("raw_name"),
+        F.size(doubled).cast("long").alias("doubled"),
+    )
+
+
 EXTRACTED: Rows = [("broken", "failed", "CONTENT_SIZE_CRC_MISMATCH", None, None), ("good", "verified", None, 3, 2)]
 
 
@@ -206,7 +229,7 @@ def extract_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("archive", "status", "error", F.when(good, F.col("files").cast("long")).alias("files"), F.when(good, F.col("directories").cast("long")).alias("directories"))
 
 
-QUERIES = {f.__name__: f for f in (draft_golden, validate_golden, collisions_golden, budget_golden, broken_archives, member_failures, encoding_golden, extract_tree)}
+QUERIES = {f.__name__: f for f in (draft_golden, validate_golden, collisions_golden, budget_golden, broken_archives, member_failures, encoding_golden, report_golden, extract_tree)}
 ORACLES = {
     "draft_golden": values("archive, entry_id, action, target_path", DRAFTED),
     "validate_golden": values("archive, error, extractable", VALIDATED),
@@ -215,5 +238,6 @@ ORACLES = {
     "broken_archives": values("archive, state, codes", [(name, state, code) for name, (_, state, code) in BROKEN.items()]),
     "member_failures": values("archive, error", [(name, error) for name, (_, error) in MEMBERS.items()]),
     "encoding_golden": values("name_case, source, text, evidence", [(case, source, text, evidence) for case, _, _, _, source, text, evidence in NAMES]),
+    "report_golden": values("archive, root_units, state, entries, directories, collision_groups, raw_name, doubled", REPORTED),
     "extract_tree": values("archive, status, error, files, directories", EXTRACTED),
 }

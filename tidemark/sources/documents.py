@@ -305,11 +305,15 @@ def write_new(path: str, content: str, *, inputs: tuple[str, ...] = ()) -> None:
         raise ValueError("OUTPUT_ALREADY_EXISTS") from None
 
 
+def options_document(options: Options) -> dict:
+    limits = {"componentLimit": options.component_limit, "pathLimit": options.path_limit, "directoryPathLimit": options.directory_path_limit}
+    return {"rootUnits": str(options.root_units), **limits, "unicodeVersion": options.unicode_version}
+
+
 def mapping_document(archive_id: str, profile_id: str, options: Options, decisions: list[dict], directories: list[dict]) -> str:
     """A plan as its document, from rows of decisions and directory mappings."""
     camel = lambda d, names: {to: d.get(own) for own, to in names.items()}
     fields = {"entry_id": "entryId", "action": "action", "target_path": "targetPath", "encoding_candidate_id": "encodingCandidateId", "name_confirmed": "nameConfirmed", "reason": "reason"}
-    target = {"rootUnits": str(options.root_units), "componentLimit": options.component_limit, "pathLimit": options.path_limit, "directoryPathLimit": options.directory_path_limit, "unicodeVersion": options.unicode_version}
     rows = [camel(d, fields) for d in decisions]
     folders = [camel(d, {"node_id": "nodeId", "target_path": "targetPath"}) for d in directories]
-    return dump({"schemaVersion": 1, "archiveId": archive_id, "profileId": profile_id, "targetOptions": target, "decisions": rows, "directoryMappings": folders})
+    return dump({"schemaVersion": 1, "archiveId": archive_id, "profileId": profile_id, "targetOptions": options_document(options), "decisions": rows, "directoryMappings": folders})

@@ -14,6 +14,13 @@ def unicode_path(name: bytes, text: str) -> bytes:
     return tlv(0x7075, b"\x01" + struct.pack("<I", zlib.crc32(name)) + text.encode())
 
 
+def risky() -> bytes:
+    """An archive with one entry or two of every kind of finding, for demonstrations."""
+    names = ["Notes.txt", "notes.txt", "aux.log", "ends with a dot.", "na\u00efve.md", "nai\u0308ve.md", "/".join(["folder"] * 40) + "/file", "../outside"]
+    link = {"name": "link", "data": b"Notes.txt", "attr": 0o120777 << 16}
+    return make([*names, link, {"name": "zeros.bin", "data": bytes(1 << 17), "method": 8}])
+
+
 def make(entries, comment: bytes = b"", count: int | None = None, size: int | None = None) -> bytes:
     """entries: names, or dicts with name and any of data, flags, method, extra, system, attr, crc, declared, offset, local_name, payload."""
     body, central = b"", b""
