@@ -475,6 +475,36 @@ def test_passages_of_brute_force_are_found(spark):
     assert len(near & set(found)) >= 0.95 * len(near) and set(found) <= near | {200, 201, 202, 203}
 
 
+def test_equal_runs_are_found_whatever_the_neighbours_confirm(spark):
+    # documents with pieces of one passage, many with a word changed: a stretch meets neighbours that have less in common with it than others
+    rng = random.Random(0)
+    unique = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = {}
+    for family in range(40):
+        whole = unique(110)
+        for member in range(8):
+            low = rng.randrange(50)
+            part = whole[low : low + rng.randint(50, 60)]
+            if rng.random() < 0.6:
+                part[rng.choice([rng.randrange(6), rng.randrange(len(part) - 6, len(part)), rng.randrange(len(part))])] = unique(1)[0]
+            rows[100 * family + member] = unique(rng.randint(5, 60)) + part + unique(rng.randint(5, 60))
+    for k in range(0, 60, 2):  # a passage twice in one text, once in the other
+        passage = unique(55)
+        rows[9000 + k], rows[9001 + k] = unique(20) + passage + unique(120) + passage, unique(9) + passage
+    found = defaultdict(list)
+    for r in passages.repeated_passages(data.documents(spark, [(k, " ".join(v)) for k, v in rows.items()]).repartition(3)).collect():
+        found[r.doc_id].append(r)
+    runs = defaultdict(set)
+    for k, v in rows.items():
+        for at in range(len(v) - 49):
+            runs[tuple(v[at : at + 50])].add((k, at))
+    shared = [x for x in runs.values() if len({k for k, _ in x}) > 1]
+    assert len(shared) > 200
+    for group in shared:
+        assert all(any(r.start <= at and at + 50 <= r.end for r in found[k]) for k, at in group)
+        assert len({found[k][0].class_id for k, _ in group}) == 1
+
+
 def test_copies_of_short_documents_are_found(spark):
     # every function's root window of a short text stands for the same starts
     rng = random.Random(16)

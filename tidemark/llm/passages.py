@@ -14,8 +14,10 @@
    minima of the other functions, so that those with more in common meet.
 5. Verification: the words around the links of two documents are fetched, and both sides keep the spans
    made of runs whose Jaccard similarity with the same place on the other side reaches the threshold.
-6. Stretches without a confirmed link may have a copy among others of their group. All their
-   runs are keyed whole and linked again: equal keys are equal passages.
+6. A stretch may have a copy among others of its group than its neighbours, whatever those confirmed.
+   Equal runs have equal minima under all functions, so they lie in stretches of one key: all runs of
+   the stretches that share a key of one pair of functions are keyed whole and linked again, and what
+   is not in a confirmed span of the two documents yet is verified. Equal keys are equal passages.
 All steps are linear in the windows, runs or words they read.
 """
 
@@ -149,9 +151,10 @@ _LINK_SCHEMA = "kind byte, part int, key long, doc long, at long, partner long,
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links each row of a sorted partition with the row before it of its key's upper 48 bits and another document.
+    """Links each row of a sorted partition with the row before it of its key's upper 48 bits and another document, or one of a group's first document with the row after it.
 
-    Kind 0 is a link; kinds 1 and 2 are the partition's first and last rows, which may belong to a group that goes on in another.
+    Kind 0 is a link; kinds 1 and 2 are the partition's first and last rows, which may belong to a group that goes on in another:
+    all rows of the last group if they are of one document.
     """
     part = TaskContext.get().partitionId()
     carried: list[np.ndarray] | None = None
@@ -177,23 +180,36 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if same.any():
             new_doc = new_key | np.concatenate([[True], doc[1:] != doc[:-1]])
             starts = np.flatnonzero(new_doc)
-            before = np.where(new_key[starts], -1, starts - 1)[np.cumsum(new_doc) - 1]
+            number = np.cumsum(new_doc) - 1
+            before = np.where(new_key[starts], -1, starts - 1)[number]
             linked = np.flatnonzero(before >= 0)
             linked = linked[linked >= known]
             if len(linked):
                 yield rows(0, [x[linked] for x in here], [x[before[linked]] for x in here])
-            keep = [int(before[-1])] * bool(before[-1] >= 0) + keep
+            early = np.flatnonzero(same & (before[1:] < 0))  # a row of the same document follows
+            after = np.append(starts, -1)[number[early] + 1]
+            early, after = (x[(after >= 0) & ~new_key[after]] for x in (early, after))
+            if len(early):
+                yield rows(0, [x[after] for x in here], [x[early] for x in here])
+            keep = [int(before[-1]), *keep] if before[-1] >= 0 else list(range(int(np.flatnonzero(new_key)[-1]), len(group)))
         carried = [x[keep] for x in here]
     if carried is not None:
-        yield rows(2, [x[-1:] for x in carried], None)
+        yield rows(2, [x[carried[1] == carried[1][-1]] for x in carried], None)
 
 
 def _linked(rows: DataFrame) -> tuple[Table, DataFrame]:
-    """Links of neighbours in the order of key and document; the second part joins the ends of partitions (two rows each)."""
+    """Links of neighbours in the order of key and document; the second part joins the ends of partitions (two rows each, or a document's repeats)."""
     dealt = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc", "at")
     found = Table(dealt.select(*_ROW).mapInArrow(_neighbours, _LINK_SCHEMA), "links")
-    ends = sorted(found.df.where("kind > 0").collect(), key=lambda r: (r.part, r.kind))
-    across = [(0, b.part, b.key, b.doc, b.at, a.doc, a.at) for a, b in zip(ends, ends[1:]) if (a.kind, b.kind) == (2, 1) and a.key >> 16 == b.key >> 16 and a.doc != b.doc]
+    ends = {x: list(y) for x, y in itertools.groupby(sorted(found.df.where("kind > 0").collect(), key=lambda r: (r.part, r.kind)), key=lambda r: (r.part, r.kind))}
+    across = [
+        (0, b.part, b.key, b.doc, b.at, a.doc, a.at)
+        for low, high in itertools.pairwise(ends)
+        if (low[1], high[1]) == (2, 1)
+        for a in ends[low]
+        for b in ends[high]
+        if a.key >> 16 == b.key >> 16 and a.doc != b.doc
+    ]
     return found, rows.sparkSession.createDataFrame(across, _LINK_SCHEMA)
 
 
@@ -323,14 +339,26 @@ def _confirm(batches: Iterator[pa.RecordBatch], *, width: int, least: int, simil
             yield _rows(rows, _SPAN)
 
 
-def _verified(texts: DataFrame, links: DataFrame, *, width: int, least: int, similarity: float) -> Table:
-    """Confirmed spans (doc, partner, start, end in words) of links, for both sides."""
+def _unconfirmed(sided: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
+    """Links whose stretches are not both inside confirmed spans of their two documents."""
+    ours, span = F.col("doc") < F.col("partner"), F.struct("start", "end")
+    spans = found.groupBy(F.least("doc", "partner").alias("a"), F.greatest("doc", "partner").alias("b"))
+    spans = spans.agg(F.collect_list(F.when(ours, span)).alias("here"), F.collect_list(F.when(~ours, span)).alias("there"))
+    inside = lambda side, shift: F.exists(side, lambda x: (x["start"] <= F.col("first") - shift) & (F.col("last") - shift + run_words <= x["end"]))
+    known = F.coalesce(inside("here", F.lit(0)) & inside("there", F.col("shift")), F.lit(False))
+    return sided.join(spans, ["a", "b"], "left").where(~known).drop("here", "there")
+
+
+def _verified(texts: DataFrame, links: DataFrame, *, width: int, least: int, similarity: float, known: DataFrame | None = None) -> Table:
+    """Confirmed spans (doc, partner, start, end in words) of links, for both sides; links inside the spans `known` already give none."""
     ours = F.col("doc") < F.col("partner")
     pick = lambda mine, other: F.when(ours, F.col(mine)).otherwise(F.col(other))
     mine, other = _unpacked("at"), _unpacked("other_at")
     here = {c: F.when(ours, mine[c]).otherwise(other[c]) for c in ("first", "last")}
     shift = F.when(ours, mine["place"] - other["place"]).otherwise(other["place"] - mine["place"])
     sided = links.select(pick("doc", "partner").alias("a"), pick("partner", "doc").alias("b"), here["first"].alias("first"), here["last"].alias("last"), shift.alias("shift"))
+    if known is not None:
+        sided = _unconfirmed(sided, known, least + width - 1)
     sided = sided.groupBy("a", "b", "first", "shift").agg(F.max("last").alias("last"))
     dealt = sided.repartition("a", "b").sortWithinPartitions("a", "b")
     pairs = Table(dealt.mapInArrow(partial(_candidates, least=least), ", ".join(f"{c} long" for c in _CANDIDATE)), "candidates")
@@ -352,15 +380,17 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _exact_runs(batches: Iterator[pa.RecordBatch], *, width: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The key of every run that a text's open stretches (lists first, last) hold."""
+    """The key of every run that a text's stretches (list at) hold."""
     hashes, run_words = WordHashes(), least + width - 1
     for batch in slices(batches):
         keys, docs, places = [], [], []
-        for doc, raw, first, last in zip(batch.column("doc").to_pylist(), raw_texts(batch.column("text")), batch.column("first").to_pylist(), batch.column("last").to_pylist()):
+        for doc, raw, at in zip(batch.column("doc").to_pylist(), raw_texts(batch.column("text")), batch.column("at")):
             grams = shingles(hashes.of(words(raw)), width)
+            at = at.values.to_numpy()
+            first = at >> _FIRST_BITS
             wanted = np.zeros(len(grams) - least + 2, dtype=np.int64)
             np.add.at(wanted, first, 1)
-            np.add.at(wanted, np.array(last) + 1, -1)
+            np.add.at(wanted, first + ((at & ((1 << _FIRST_BITS) - 1)) >> _LAST_BITS) + 1, -1)
             starts = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
             # A polynomial of the run's shingles: the difference of two running sums, each term scaled back by its place.
             scale, back = (np.multiply.accumulate(np.full(len(grams) + 1, x, dtype=np.uint64)) for x in (_BASE, _INVERSE))
@@ -407,27 +437,24 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, min_words: int = 50, f
     every = reduce(DataFrame.unionAll, [part for table, ends in links for part in (table.df.where("kind = 0"), ends)])
     near = _verified(texts.df, every, width=width, least=least, similarity=similarity)
     release(spark)
-    left = Table(_open_stretches(every, near.df, width).join(texts.df.select("doc", "text"), "doc"), "open")
-    runs = Table(left.df.mapInArrow(partial(_exact_runs, width=width, least=least), "key long, doc long, at long"), "runs")
+    table, ends = links[0]
+    asked = texts.df.select("doc", "text").join(_grouped_stretches(table.df.unionAll(ends)), "doc")
+    runs = Table(asked.mapInArrow(partial(_exact_runs, width=width, least=least), "key long, doc long, at long"), "runs")
     same, ends = _linked(runs.df)
     release(spark)
-    exact = _verified(texts.df, same.df.where("kind = 0").unionAll(ends), width=width, least=least, similarity=similarity)
+    exact = _verified(texts.df, same.df.where("kind = 0").unionAll(ends), width=width, least=least, similarity=similarity, known=near.df)
     found = Table(near.df.unionAll(exact.df).distinct(), "passages").df
-    for table in (*(table for table, _ in links), near, left, runs, same, exact):
+    for table in (*(table for table, _ in links), near, runs, same, exact):
         table.drop()
     release(spark)
     return _of_documents(known, texts.bare, found, min_words=min_words)
 
 
-def _open_stretches(links: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """Lists (first, last) of the stretches of each text that no confirmed span of their links covers."""
-    here, there = (F.struct(F.col(doc).alias("doc"), F.col(partner).alias("partner"), F.col(at).alias("at")) for doc, partner, at in (("doc", "partner", "at"), ("partner", "doc", "other_at")))
-    sides = links.select(F.shiftright("key", 16).alias("key"), F.explode(F.array(here, there)).alias("s")).select("key", "s.*").withColumns(_unpacked("at"))
-    spans = found.groupBy("doc", "partner").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    covered = F.exists(F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")), lambda x: (F.col("place") >= x["start"]) & (F.col("place") + width <= x["end"]))
-    stretches = sides.join(spans, ["doc", "partner"], "left").withColumn("covered", covered)
-    still = stretches.groupBy("key", "doc", "first").agg(F.max("last").alias("last"), F.max("covered").alias("covered")).where("NOT covered")
-    return still.groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+def _grouped_stretches(links: DataFrame) -> DataFrame:
+    """Lists (at) of the stretches of each text that share their key with another's, and of a few that do not."""
+    here, there = F.struct("doc", "at"), F.struct(F.col("partner").alias("doc"), F.col("other_at").alias("at"))
+    sides = links.select(F.explode(F.array(here, there)).alias("s")).select("s.*").where("doc IS NOT NULL")
+    return sides.groupBy("doc").agg(F.collect_set("at").alias("at"))
 
 
 def _of_documents(known: DataFrame, texts: DataFrame, found: DataFrame, *, min_words: int) -> DataFrame:
