@@ -505,6 +505,48 @@ def test_equal_runs_are_found_whatever_the_neighbours_confirm(spark):
         assert len({found[k][0].class_id for k, _ in group}) == 1
 
 
+def test_near_passages_meet_across_others_of_their_group(spark):
+    # two near passages each, among texts that share 30 of their words: too few for a passage, enough to stand between the two
+    rng = random.Random(3)
+    unique = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, families = {}, range(0, 6000, 100)
+    for family in families:
+        passage = unique(56)
+        other = list(passage)
+        other[rng.choice([10, 45])] = "changed"
+        rows[family], rows[family + 50] = unique(30) + passage + unique(30), unique(9) + other + unique(40)
+        for k in range(1, 31):
+            low = rng.randrange(len(passage) - 30)
+            rows[family + k] = unique(40) + passage[low : low + 30] + unique(40)
+    found = defaultdict(set)
+    for r in passages.repeated_passages(data.documents(spark, [(k, " ".join(v)) for k, v in rows.items()]).repartition(3)).collect():
+        found[r.doc_id].add(r.class_id)
+    assert all(k % 50 == 0 for k in found)
+    met = sum(found[family] == found[family + 50] == {family} for family in families)
+    assert met >= 0.95 * len(families), met
+
+
+def test_meeting_pairs_link_all_that_have_enough_in_common():
+    rng = np.random.default_rng(4)
+    line, rows = rng.integers(1, 2**32, 30, dtype=np.uint32), []
+    for k in range(120):  # all have the line, every third has one of eight passages around it, every ninth of those with a place moved
+        row = rng.integers(1, 2**32, 115, dtype=np.uint32)
+        row[40:70] = line
+        if k % 3 == 0:
+            row[25:85] = np.concatenate([np.arange(15) + 100 * (k % 8 + 1), line, np.arange(15) + 100 * (k % 8 + 1) + 50]).astype(np.uint32)
+        if k % 9 == 0:
+            row[71:] = row[70:-1].copy()
+        rows.append(row)
+    found = passages.meeting(np.array(rows), np.arange(120), 46, 41)
+    assert all(a % 3 == b % 3 == 0 and a % 8 == b % 8 for a, b in found)
+    classes = {k: k for k in range(120)}
+    for a, b in found:
+        low, high = sorted((classes[a], classes[b]))
+        classes = {k: low if v == high else v for k, v in classes.items()}
+    assert len({classes[k] for k in range(0, 120, 3)}) == 8
+    assert passages.meeting(np.array(rows), np.zeros(120), 46, 41) == []
+
+
 def test_copies_of_short_documents_are_found(spark):
     # every function's root window of a short text stands for the same starts
     rng = random.Random(16)

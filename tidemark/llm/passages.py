@@ -18,7 +18,9 @@
    Equal runs have equal minima under all functions, so they lie in stretches of one key: all runs of
    the stretches that share a key of one pair of functions are keyed whole and linked again, and what
    is not in a confirmed span of the two documents yet is verified. Equal keys are equal passages.
-All steps are linear in the windows, runs or words they read.
+7. Groups of three stretches or more that hold an unconfirmed link are compared whole, on the shingles around
+   the minima: first each stretch with the group, then those left with each other, until all are in one class.
+All steps but the last are linear in the windows, runs or words they read.
 """
 
 from __future__ import annotations
@@ -403,6 +405,89 @@ def _exact_runs(batches: Iterator[pa.RecordBatch], *, width: int, least: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs)), pa.array(_packed(places, places, places))], _ROW)
 
 
+def _disputed(links: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """Per text the stretches (asked: group, at) of the groups of two links or more that have one no confirmed span covers."""
+    spans = found.groupBy("doc", "partner").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    place = _unpacked("at")["place"]
+    covered = F.exists(F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")), lambda x: (place >= x["start"]) & (place + width <= x["end"]))
+    links = links.withColumn("group", F.shiftright("key", 16))
+    judged = links.join(spans, ["doc", "partner"], "left").select("group", covered.alias("covered"))
+    open_groups = judged.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("covered").alias("settled")).where("n > 1 AND NOT settled").select("group")
+    sides = F.array(F.struct("doc", "at"), F.struct(F.col("partner").alias("doc"), F.col("other_at").alias("at")))
+    members = links.select("group", F.explode(sides).alias("s")).select("group", "s.*").join(open_groups, "group", "left_semi").distinct()
+    return members.groupBy("doc").agg(F.collect_list(F.struct("group", "at")).alias("asked"))
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch], *, width: int, least: int) -> Iterator[pa.RecordBatch]:
+    """32 bits of each shingle from `reach` before a stretch's minimum to `reach` after it, 0 beyond the text."""
+    hashes, reach = WordHashes(), least + least // 4
+    for batch in slices(batches):
+        for doc, raw, asked in zip(batch.column("doc"), raw_texts(batch.column("text")), batch.column("asked")):
+            group, at = (asked.values.field(k).to_numpy() for k in (0, 1))
+            grams = (shingles(hashes.of(words(raw)), width) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            edge = np.zeros(reach, dtype=np.uint32)
+            padded, place = np.concatenate([edge, grams, edge]), (at >> _FIRST_BITS) + (at & ((1 << _LAST_BITS) - 1))
+            for low in range(0, len(at), 1 << 11):
+                here = slice(low, low + (1 << 11))
+                around = padded[place[here, None] + np.arange(2 * reach + 1)]
+                cuts = pa.py_buffer((np.arange(len(around) + 1) * around.itemsize * around.shape[1]).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(around), [None, cuts, pa.py_buffer(around.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(group[here]), pa.array(np.full(len(around), doc.as_py())), pa.array(at[here]), packed], ["group", "doc", "at", "grams"])
+
+
+def _dense(common: np.ndarray, least: int, needed: int) -> np.ndarray:
+    """Which rows have `needed` places in some run of `least`."""
+    total = np.cumsum(common, axis=1, dtype=np.int16)
+    return (total[:, least - 1] >= needed) | (total[:, least:] - total[:, :-least] >= needed).any(axis=1)
+
+
+def meeting(grams: np.ndarray, docs: np.ndarray, least: int, needed: int) -> list[tuple[int, int]]:
+    """Pairs of rows, of different documents, that may have `needed` of `least` places in common and are not linked by other pairs that surely have.
+
+    A row without so many values in a run that any other row has is out; the rest are compared with all rows of other classes.
+    """
+    alive = np.arange(len(grams))
+    while len(alive) > 1:
+        values, of = np.unique(grams[alive], return_inverse=True)
+        of = of.reshape(len(alive), -1)
+        held = np.sort(of, axis=1)
+        counts = np.bincount(held[np.concatenate([np.ones((len(held), 1), dtype=bool), held[:, 1:] != held[:, :-1]], axis=1)], minlength=len(values))
+        counts[values == 0] = 0
+        keep = _dense(counts[of] > 1, least, needed)
+        if keep.all():
+            break
+        alive = alive[keep]
+    if len(alive) < 2:
+        return []
+    grams, docs, out = grams[alive], docs[alive], []
+    known, classes = grams != 0, np.arange(len(alive))
+    for row in range(len(alive)):
+        others = np.flatnonzero(classes != classes[row])
+        if not len(others):
+            break
+        others = others[docs[others] != docs[row]]
+        sure = _dense((grams[others] == grams[row]) & known[row], least, needed)
+        joined, first = np.unique(classes[others[sure]], return_index=True)
+        out += [(row, int(k)) for k in others[sure][first]]
+        rest = others[~sure & (others > row)]
+        rest = rest[~np.isin(classes[rest], joined)]
+        if len(rest):
+            out += [(row, int(k)) for k in rest[_dense(np.isin(grams[rest], grams[row]) & known[rest], least, needed)]]
+        classes[np.isin(classes, joined)] = classes[row]
+    return [(int(alive[a]), int(alive[b])) for a, b in out]
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], *, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    needed, size = int(np.ceil(2 * similarity * least / (1 + similarity) - 1e-9)), 2 * (least + least // 4) + 1
+    for table, edges in groups.whole_runs(batches, ["group"]):
+        doc, at = (table[c].to_numpy() for c in ("doc", "at"))
+        grams, rows = np.frombuffer(b"".join(table["grams"].to_pylist()), dtype=np.uint32).reshape(-1, size), []
+        for k, stop in zip(edges.tolist(), edges[1:].tolist()):
+            rows += [(doc[k + i], at[k + i], doc[k + j], at[k + j]) for i, j in meeting(grams[k:stop], doc[k:stop], least, needed)]
+        if rows:
+            yield _rows(rows, ["doc", "at", "partner", "other_at"])
+
+
 def repeated_passages(docs: DataFrame, *, width: int = 5, min_words: int = 50, functions: int = 4, similarity: float = 0.8) -> DataFrame:
     """One row for each confirmed passage and document it was confirmed with: doc_id, partner_id, class_id, start, end.
 
@@ -443,8 +528,14 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, min_words: int = 50, f
     same, ends = _linked(runs.df)
     release(spark)
     exact = _verified(texts.df, same.df.where("kind = 0").unionAll(ends), width=width, least=least, similarity=similarity, known=near.df)
-    found = Table(near.df.unionAll(exact.df).distinct(), "passages").df
-    for table in (*(table for table, _ in links), near, runs, same, exact):
+    release(spark)
+    both = near.df.unionAll(exact.df)
+    asked = texts.df.select("doc", "text").join(_disputed(every, near.df, width), "doc")
+    around = asked.mapInArrow(partial(_surroundings, width=width, least=least), "group long, doc long, at long, grams binary")
+    met = Table(around.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_meetings, least=least, similarity=similarity), "doc long, at long, partner long, other_at long"), "met")
+    others = _verified(texts.df, met.df, width=width, least=least, similarity=similarity, known=both)
+    found = Table(both.unionAll(others.df).distinct(), "passages").df
+    for table in (*(table for table, _ in links), near, runs, same, exact, met, others):
         table.drop()
     release(spark)
     return _of_documents(known, texts.bare, found, min_words=min_words)
