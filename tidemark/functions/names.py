@@ -155,8 +155,8 @@ def comparison_path(df: DataFrame, parts: str, rule: str, out: str = "key") -> D
     native = F.array_join(F.transform(parts, lambda p: native_key(p, rule)), "/")
     if rule not in _IN_PYTHON:
         return df.withColumn(out, native)
-    simple = df.where(is_ascii(joined)).withColumn(out, native)
-    return simple.unionByName(df.where(~is_ascii(joined)).withColumn(out, _IN_PYTHON[rule](joined)))
+    plain = F.coalesce(is_ascii(joined), F.lit(True))  # a null path keeps its row
+    return df.where(plain).withColumn(out, native).unionByName(df.where(~plain).withColumn(out, _IN_PYTHON[rule](joined)))
 
 
 def clean_component(name: Column, target: Policy) -> Column:

@@ -69,7 +69,7 @@ def collision_groups(found: DataFrame, target: Policy) -> DataFrame:
             F.count(F.lit(1)).alias("n_objects"),
             F.array_sort(F.collect_set("parts")).alias("originals"),
             F.collect_set("kind").alias("kinds"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("entry_ids"),
+            F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("members"))))).alias("entry_ids"),
             F.array_sort(F.array_remove(F.collect_set("node_id"), "")).alias("node_ids"),
         )
         .where(shown)
