@@ -547,6 +547,19 @@ def test_meeting_pairs_link_all_that_have_enough_in_common():
     assert passages.meeting(np.array(rows), np.zeros(120), 46, 41) == []
 
 
+def test_pairs_matched_together_are_as_each_by_itself():
+    rng = np.random.default_rng(6)
+    pairs = [(rng.integers(0, 40, rng.integers(0, 90)).astype(np.uint64), rng.integers(0, 40, rng.integers(0, 90)).astype(np.uint64), rng.integers(-9, 9) / 2, float(rng.integers(0, 12))) for _ in range(300)]
+    here, there, shift, slack = zip(*pairs)
+    of = [np.array([len(x) for x in side]) for side in (here, there)]
+    found = passages._matched(np.concatenate(here), of[0], np.concatenate(there), of[1], np.array(shift), np.array(slack))
+    brute = [any(there[k][j] == v and abs(j - (i - shift[k])) <= slack[k] for j in range(len(there[k]))) or bool(0 <= (at := i - round(shift[k])) < len(there[k]) and there[k][at] == v) for k in range(300) for i, v in enumerate(here[k])]
+    assert found.tolist() == brute
+    owner, start, end = passages._similar_spans(found, of[0], 8, 0.5)
+    edges = np.cumsum(of[0]) - of[0]
+    assert len(owner) and list(zip(owner.tolist(), start.tolist(), end.tolist())) == [(k, *span) for k in range(300) for span in passages.similar_spans(found[edges[k] : edges[k] + of[0][k]], 8, 0.5)]
+
+
 def test_copies_of_short_documents_are_found(spark):
     # every function's root window of a short text stands for the same starts
     rng = random.Random(16)

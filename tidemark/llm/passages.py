@@ -31,6 +31,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,20 +216,22 @@ def _linked(rows: DataFrame) -> tuple[Table, DataFrame]:
     return found, rows.sparkSession.createDataFrame(across, _LINK_SCHEMA)
 
 
+#: Words of cuts compared at once, in bytes.
+_CONFIRM_BYTES = 1 << 19
 _CANDIDATE = ["a", "b", "start", "end", "low", "high"]
 
 
-def candidates(first: np.ndarray, last: np.ndarray, shift: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+def candidates(first: np.ndarray, last: np.ndarray, shift: np.ndarray, least: int, reach: int) -> list[tuple[int, int, int, int]]:
     """(start, end exclusive, least and greatest shift) of stretches that overlap at about the same shift, the place here less the place there.
 
-    Each reaches a run further on both sides than its stretches, whose neighbours may be linked elsewhere.
+    Each reaches further on both sides than its stretches, whose neighbours may be linked elsewhere.
     """
     out: list[list[int]] = []
     order = np.argsort(shift, kind="stable")
     for near in np.split(order, np.flatnonzero(np.diff(shift[order]) > least // 4) + 1):
         opened = len(out)
         for k in near[np.argsort(first[near], kind="stable")].tolist():
-            start, end, at = max(0, int(first[k]) - least), int(last[k]) + 2 * least, int(shift[k])
+            start, end, at = max(0, int(first[k]) - reach), int(last[k]) + least + reach, int(shift[k])
             if len(out) > opened and start <= out[-1][1]:
                 out[-1][1:] = [max(out[-1][1], end), min(out[-1][2], at), max(out[-1][3], at)]
             else:
@@ -240,10 +243,10 @@ def _rows(rows: list[tuple[int, ...]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], *, least: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], *, least: int, reach: int) -> Iterator[pa.RecordBatch]:
     for table, edges in groups.whole_runs(batches, ["a", "b"]):
         a, b, first, last, shift = (table[c].to_numpy().astype(np.int64) for c in ("a", "b", "first", "last", "shift"))
-        rows = [(a[k], b[k], *found) for k, stop in zip(edges, edges[1:]) for found in candidates(first[k:stop], last[k:stop], shift[k:stop], least)]
+        rows = [(a[k], b[k], *found) for k, stop in zip(edges, edges[1:]) for found in candidates(first[k:stop], last[k:stop], shift[k:stop], least, reach)]
         yield _rows(rows, _CANDIDATE)
 
 
@@ -264,30 +267,49 @@ def _cuts(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.Recor
 
 def matched(here: np.ndarray, there: np.ndarray, shift: float, slack: float) -> np.ndarray:
     """Whether each value has an equal one in `there` within `slack` of its own place less `shift`."""
+    numbers = np.unique(np.concatenate([here, there]), return_inverse=True)[1].astype(np.uint64)
+    here, there = numbers[: len(here)], numbers[len(here) :]
+    return _matched(here, np.array([len(here)]), there, np.array([len(there)]), np.array([shift], dtype=np.float64), np.array([slack], dtype=np.float64))
+
+
+def _placed(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of values of several sequences put together: where each sequence starts, the sequence of each value, and its place there."""
+    offset = np.cumsum(lengths) - lengths
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    return offset, of, np.arange(len(of)) - offset[of]
+
+
+def _matched(here: np.ndarray, here_lengths: np.ndarray, there: np.ndarray, there_lengths: np.ndarray, shift: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """`matched` for pairs of sequences, each side put together, with a shift and slack for each pair."""
+    _, of, place = _placed(here_lengths)
+    offset, there_of, there_place = _placed(there_lengths)
     out = np.zeros(len(here), dtype=bool)
-    if not len(there):
-        return out
-    at = np.arange(len(here)) - round(shift)
-    inside = (at >= 0) & (at < len(there))
-    out[inside] = here[inside] == there[at[inside]]
-    if out.all():
+    at = place - np.rint(shift).astype(np.int64)[of]
+    inside = np.flatnonzero((at >= 0) & (at < there_lengths[of]))
+    out[inside] = here[inside] == there[offset[of[inside]] + at[inside]]
+    left = np.flatnonzero(~out)
+    asked = np.zeros(len(shift), dtype=bool)
+    asked[of[left]] = True
+    held = np.flatnonzero(asked[there_of])
+    if not len(held):
         return out
-    order = np.argsort(there, kind="stable")
-    ordered = there[order]
+    salt = mixed(np.arange(1, len(shift) + 1, dtype=np.uint64) << np.uint64(32))
+    keys = there[held] ^ salt[there_of[held]]
+    order = np.argsort(keys, kind="stable")
+    ordered, there_place = keys[order], there_place[held][order]
     rank = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-    open_places = np.flatnonzero(~out)
-    at = np.minimum(np.searchsorted(ordered, here[open_places]), len(there) - 1)
-    known = ordered[at] == here[open_places]
-    open_places, of = open_places[known], rank[at[known]]
+    sought = here[left] ^ salt[of[left]]
+    at = np.minimum(np.searchsorted(ordered, sought), len(ordered) - 1)
+    known = ordered[at] == sought
+    left, rank_of = left[known], rank[at[known]]
     # Equal values lie in the order of their places, so rank and place together rise.
-    wanted, span = open_places - shift, float(len(there) + len(here) + abs(shift) + slack + 1)
-    sought = 3 * span * of + np.clip(wanted, -span, 2 * span)
-    placed = 3 * span * rank + order
-    after = np.searchsorted(placed, sought)
+    wanted = place[left] - shift[of[left]]
+    span = float((there_lengths + here_lengths + np.abs(shift) + slack).max() + 1)
+    after = np.searchsorted(3 * span * rank + there_place, 3 * span * rank_of + np.clip(wanted, -span, 2 * span))
     for k in (after, after - 1):
-        inside = (k >= 0) & (k < len(there))
+        inside = (k >= 0) & (k < len(ordered))
         k = np.where(inside, k, 0)
-        out[open_places] |= inside & (rank[k] == of) & (np.abs(order[k] - wanted) <= slack)
+        out[left] |= inside & (rank[k] == rank_of) & (np.abs(there_place[k] - wanted) <= slack[of[left]])
     return out
 
 
@@ -298,47 +320,78 @@ def similar_spans(found: np.ndarray, least: int, similarity: float) -> list[tupl
     reach it are put together where they overlap; neighbours are joined while the whole still reaches it.
     A span begins and ends with a place in common, unless it would be too short.
     """
-    if len(found) < least:
-        return []
+    _, starts, ends = _similar_spans(found, np.array([len(found)]), least, similarity)
+    return list(zip(starts.tolist(), ends.tolist()))
+
+
+def _similar_spans(found: np.ndarray, lengths: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`similar_spans` of sequences put together: the sequence, start and end of each span."""
     total = np.concatenate([[0], np.cumsum(found)])
     enough = lambda m, n: m * (1 + similarity) >= 2 * similarity * n - 1e-9
-    good = np.flatnonzero(enough(total[least:] - total[:-least], least))
+    offset, of, _ = _placed(lengths)
+    good = np.flatnonzero(enough(total[least:] - total[:-least], least)) if len(found) >= least else np.zeros(0, dtype=np.int64)
+    good = good[of[good] == of[good + least - 1]]
     if not len(good):
-        return []
-    cut = np.flatnonzero(np.diff(good) >= least)
-    spans: list[list[int]] = []
-    for start, end in zip(good[np.concatenate([[0], cut + 1])].tolist(), (good[np.concatenate([cut, [len(good) - 1]])] + least).tolist()):
-        common = start + np.flatnonzero(found[start:end])
-        low = int(min(common[0], end - least))
-        high = int(max(common[-1] + 1, low + least))
-        if spans and enough(total[high] - total[spans[-1][0]], high - spans[-1][0]):
-            spans[-1][1] = max(high, spans[-1][1])
-        else:
-            spans.append([low, high])
-    return [tuple(span) for span in spans]
+        return good, good, good
+    cut = np.flatnonzero((np.diff(good) >= least) | (of[good[1:]] != of[good[:-1]]))
+    start, end = good[np.concatenate([[0], cut + 1])], good[np.concatenate([cut, [len(good) - 1]])] + least
+    common = np.flatnonzero(found)
+    low = np.minimum(common[np.searchsorted(common, start)], end - least)
+    high = np.maximum(common[np.searchsorted(common, end) - 1] + 1, low + least)
+    whose = of[start]
+    if len(cut) and (whose[1:] == whose[:-1]).any():
+        spans: list[list[int]] = []
+        for owner, first, stop in zip(whose.tolist(), low.tolist(), high.tolist()):
+            if spans and spans[-1][0] == owner and enough(total[stop] - total[spans[-1][1]], stop - spans[-1][1]):
+                spans[-1][2] = max(stop, spans[-1][2])
+            else:
+                spans.append([owner, first, stop])
+        whose, low, high = np.array(spans).T
+    return whose, low - offset[whose], high - offset[whose]
 
 
 _SPAN = ["doc", "partner", "start", "end"]
 
 
+def _cut_grams(cuts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of several cuts put together, and how many each has."""
+    lengths = np.array([cut.count(b" ") + 1 if cut else 0 for cut in cuts], dtype=np.int64)
+    if lengths.min() < width:
+        each = [shingles(hashes.of(cut.split()), width) for cut in cuts]
+        return np.concatenate(each), np.array([len(x) for x in each])
+    grams = shingles(hashes.of(b" ".join(cuts).split()), width)
+    return grams[_run_starts(lengths, width)[0]], lengths - width + 1
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], *, width: int, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for table, edges in groups.whole_runs(batches, _CANDIDATE):
-        a, b, low, high, side, at = (table[c].to_numpy() for c in ("a", "b", "low", "high", "side", "at"))
-        cuts, rows = table["words"].to_pylist(), []
-        for k, stop in zip(edges.tolist(), edges[1:].tolist()):
-            if stop - k < 2:
-                continue
-            here, there = (shingles(hashes.of(cuts[n].split()), width) for n in (k, stop - 1))
-            here_at, there_at = int(at[k]), int(at[stop - 1])
-            shift, slack = (low[k] + high[k]) / 2 - here_at + there_at, (high[k] - low[k]) / 2 + least // 4
-            for doc, partner, mine, others, by, start in ((a[k], b[k], here, there, shift, here_at), (b[k], a[k], there, here, -shift, there_at)):
-                spans = similar_spans(matched(mine, others, by, slack), least, similarity)
-                rows += [(doc, partner, s + start, e + start + width - 1) for s, e in spans]
-                if not spans:
-                    break  # what the one side lacks, the other does not have in common either
-        if rows:
-            yield _rows(rows, _SPAN)
+        a, b, low, high, at = (table[c].to_numpy() for c in ("a", "b", "low", "high", "at"))
+        first, second = edges[:-1], edges[1:] - 1
+        first, second = first[second > first], second[second > first]
+        if not len(first):
+            continue
+        cuts, sizes = table["words"], pc.binary_length(table["words"]).to_numpy()
+        part = np.cumsum(sizes[first] + sizes[second]) // _CONFIRM_BYTES
+        for k in np.split(np.arange(len(first)), np.flatnonzero(np.diff(part)) + 1):
+            i, j = first[k], second[k]
+            (here, here_lengths), (there, there_lengths) = (_cut_grams(cuts.take(pa.array(x)).to_pylist(), hashes, width) for x in (i, j))
+            shift, slack = (low[i] + high[i]) / 2 - at[i] + at[j], (high[i] - low[i]) / 2 + least // 4
+            of, start, end = _similar_spans(_matched(here, here_lengths, there, there_lengths, shift, slack), here_lengths, least, similarity)
+            if not len(of):
+                continue  # what the one side lacks, the other does not have in common either
+            yield _spans(a[i][of], b[i][of], start + at[i][of], end + at[i][of] + width - 1)
+            some = np.zeros(len(i), dtype=bool)
+            some[of] = True
+            some_here, some_there = (x[np.repeat(some, lengths)] for x, lengths in ((here, here_lengths), (there, there_lengths)))
+            back = _matched(some_there, there_lengths[some], some_here, here_lengths[some], -shift[some], slack[some])
+            of, start, end = _similar_spans(back, there_lengths[some], least, similarity)
+            i, j = i[some], j[some]
+            yield _spans(b[i][of], a[i][of], start + at[j][of], end + at[j][of] + width - 1)
+
+
+def _spans(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _SPAN)
 
 
 def _unconfirmed(sided: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
@@ -351,8 +404,11 @@ def _unconfirmed(sided: DataFrame, found: DataFrame, run_words: int) -> DataFram
     return sided.join(spans, ["a", "b"], "left").where(~known).drop("here", "there")
 
 
-def _verified(texts: DataFrame, links: DataFrame, *, width: int, least: int, similarity: float, known: DataFrame | None = None) -> Table:
-    """Confirmed spans (doc, partner, start, end in words) of links, for both sides; links inside the spans `known` already give none."""
+def _verified(texts: DataFrame, links: DataFrame, *, width: int, least: int, similarity: float, known: DataFrame | None = None, reach: int | None = None) -> Table:
+    """Confirmed spans (doc, partner, start, end in words) of links, for both sides; links inside the spans `known` already give none.
+
+    Words are read `reach` places before and after the links' runs, a run if it is not given.
+    """
     ours = F.col("doc") < F.col("partner")
     pick = lambda mine, other: F.when(ours, F.col(mine)).otherwise(F.col(other))
     mine, other = _unpacked("at"), _unpacked("other_at")
@@ -363,7 +419,7 @@ def _verified(texts: DataFrame, links: DataFrame, *, width: int, least: int, sim
         sided = _unconfirmed(sided, known, least + width - 1)
     sided = sided.groupBy("a", "b", "first", "shift").agg(F.max("last").alias("last"))
     dealt = sided.repartition("a", "b").sortWithinPartitions("a", "b")
-    pairs = Table(dealt.mapInArrow(partial(_candidates, least=least), ", ".join(f"{c} long" for c in _CANDIDATE)), "candidates")
+    pairs = Table(dealt.mapInArrow(partial(_candidates, least=least, reach=reach or least), ", ".join(f"{c} long" for c in _CANDIDATE)), "candidates")
     slack = F.lit(least // 4)
     side = lambda owner, number, at, stop: F.struct(F.col(owner).alias("owner"), F.lit(number).alias("side"), at.alias("at"), stop.alias("stop"))
     sides = F.array(side("a", 0, F.col("start"), F.col("end")), side("b", 1, F.greatest(F.lit(0).cast("long"), F.col("start") - F.col("high") - slack), F.col("end") - F.col("low") + slack))
@@ -533,7 +589,7 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, min_words: int = 50, f
     asked = texts.df.select("doc", "text").join(_disputed(every, near.df, width), "doc")
     around = asked.mapInArrow(partial(_surroundings, width=width, least=least), "group long, doc long, at long, grams binary")
     met = Table(around.repartition("group").sortWithinPartitions("group").mapInArrow(partial(_meetings, least=least, similarity=similarity), "doc long, at long, partner long, other_at long"), "met")
-    others = _verified(texts.df, met.df, width=width, least=least, similarity=similarity, known=both)
+    others = _verified(texts.df, met.df, width=width, least=least, similarity=similarity, known=both, reach=least + least // 4)  # as far as meetings look
     found = Table(both.unionAll(others.df).distinct(), "passages").df
     for table in (*(table for table, _ in links), near, runs, same, exact, met, others):
         table.drop()
