@@ -9,11 +9,12 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm import data
-from tidemark.llm import decontaminate, language_id, line_dedup, ngram_join, packing, passages, quality_cnn, quality_rules, sampling, toxicity, url_filter
+from tidemark.llm import decontaminate, language_id, line_dedup, ngram_join, packing, passages, quality_cnn, quality_rules, sampling, text, toxicity, url_filter
 from tidemark.llm.graph import components
 from tidemark.llm.text import words
 
@@ -547,6 +548,58 @@ def test_meeting_pairs_link_all_that_have_enough_in_common():
     assert passages.meeting(np.array(rows), np.zeros(120), 46, 41) == []
 
 
+def odd_texts():
+    rng = random.Random(9)
+    long = ["x" * n for n in (126, 127, 128, 129, 1 << 16, 1 << 17)] + ["é" * 64, "é" * 63 + "a", "日本語" * 40]
+    pool = ["a", "b", "A", "ab", "ba", "Zoë", "42", "don't", "日本", *long]
+    rows = ["", None, "  ", "a", " a", "a ", "ab", "a b", ("word " * 30_000) + "end", "z" * 200_000, "z" * 200_000 + " q", "q" + " " * 90_000 + "q", "y" * 127 + " " * 300 + "y" * 127]
+    return rows + ["".join(rng.choice(pool) + rng.choice([" ", ", ", "\n", " " * 200]) for _ in range(rng.randrange(60))) for _ in range(200)]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string(), pa.binary()])
+def test_words_hashed_by_the_column_are_as_each_by_itself(kind):
+    rows = odd_texts()
+    column = pa.array([x.encode() if x is not None and kind == pa.binary() else x for x in rows], kind)
+    seen: dict[int, bytes] = {}
+    for part, tokens in ((column, rows), (column.slice(3, 90), rows[3:93]), (column.slice(0, 3), rows[:3]), (column.slice(0, 0), [])):
+        tokens = [words(x.encode() if x else None) for x in tokens]
+        hashes, counts = text.word_hashes(part)
+        assert counts.tolist() == [len(x) for x in tokens]
+        found = list(zip(hashes.tolist(), [w for x in tokens for w in x], strict=True))
+        assert all(seen.setdefault(h, w) == w for h, w in found)  # unlike words differ
+    assert len(seen) == len({w for x in rows if x for w in words(x.encode())})  # like ones are equal
+
+
+def test_cuts_hold_the_words_from_a_first_shingle_to_a_last():
+    rng, rows = random.Random(2), [x for x in odd_texts() if x is not None]
+    asked = [[dict(a=k, b=n, start=0, end=9, low=0, high=0, side=n % 2, at=rng.randrange(70), stop=rng.randrange(1, 90)) for n in range(3)] for k in range(len(rows))]
+    kind = pa.list_(pa.struct([(c, pa.int32() if c == "side" else pa.int64()) for c in asked[0][0]]))
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(asked, kind)], ["text", "asked"])
+    found = [x for cut in passages._cuts(iter([batch.slice(2), batch.slice(0, 2)]), width=5) for x in cut.to_pylist()]
+    wanted = [(x["a"], x["b"], x["side"], x["at"], words(rows[k].encode())[x["at"] : x["stop"] + 4]) for k in [*range(2, len(rows)), 0, 1] for x in asked[k]]
+    assert [(x["a"], x["b"], x["side"], x["at"], words(x["words"])) for x in found] == wanted
+
+
+def test_windows_hash_no_word_by_itself(monkeypatch):
+    """A call for each unlike word was most of the time of op6."""
+    calls = []
+    whole = text.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(text.xxhash, "xxh3_64_intdigest", lambda word: calls.append(word) or whole(word))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(f"w{k}" for k in range(low, low + 500)) for low in (0, 400)])], ["doc", "text"])
+    (found,) = passages._windows(iter([batch]), width=5, least=46, functions=4)
+    assert found.num_rows == 2 and not calls
+    keys = [set((np.array(x) >> 16).tolist()) for x in found.column("key0").to_pylist()]
+    assert keys[0] & keys[1]
+
+
+def test_places_beyond_a_text_meet_none():
+    row = np.arange(1, 116, dtype=np.uint32)
+    row[:60] = 0
+    assert passages.meeting(np.array([row, row]), np.arange(2), 46, 41) == [(0, 1)]
+    row[60:80] = 0  # 35 are left
+    assert passages.meeting(np.array([row, row]), np.arange(2), 46, 41) == []
+
+
 def test_pairs_matched_together_are_as_each_by_itself():
     rng = np.random.default_rng(6)
     pairs = [(rng.integers(0, 40, rng.integers(0, 90)).astype(np.uint64), rng.integers(0, 40, rng.integers(0, 90)).astype(np.uint64), rng.integers(-9, 9) / 2, float(rng.integers(0, 12))) for _ in range(300)]

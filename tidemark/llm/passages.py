@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import groups
 from .graph import components
 from .store import Bucketed, Table, buckets, release
-from .text import SLICE_BYTES, WordHashes, mixed, raw_texts, shingles, slices, words
+from .text import SLICE_BYTES, mixed, shingles, slices, word_hashes, word_starts
 
 #: Words handled at once; a longer text is handled in parts that overlap by a run.
 _PART_WORDS = 1 << 17
@@ -61,21 +61,27 @@ def sliding_minima(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     return place.astype(np.int64), values[place]
 
 
-def _parts(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
-    """Lists of (row, first word, words) of texts of a run or more, about _PART_WORDS words a list; with the batch they came from."""
+def _parts(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of a run or more, about _PART_WORDS words at once: the batch they came from, the row, first word and length of each part, and all their words' hashes."""
     for batch in slices(batches):
+        hashes, counts = word_hashes(batch.column("text"))
+        offset = np.cumsum(counts) - counts
         held, count = [], 0
-        for row, raw in enumerate(raw_texts(batch.column("text"))):
-            tokens = words(raw)
-            for low in range(0, max(0, len(tokens) - run_words + 1), _PART_WORDS):
-                part = tokens[low : low + _PART_WORDS + run_words - 1]
-                held.append((row, low, part))
-                count += len(part)
+        for row in np.flatnonzero(counts >= run_words).tolist():
+            n = int(counts[row])
+            for low in range(0, n - run_words + 1, _PART_WORDS):
+                held.append((row, low, min(n - low, _PART_WORDS + run_words - 1)))
+                count += held[-1][2]
                 if count >= _PART_WORDS:
-                    yield batch, held
+                    yield _part(batch, hashes, offset, held)
                     held, count = [], 0
         if held:
-            yield batch, held
+            yield _part(batch, hashes, offset, held)
+
+
+def _part(batch: pa.RecordBatch, hashes: np.ndarray, offset: np.ndarray, held: list[tuple[int, int, int]]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    row, low, length = np.array(held, dtype=np.int64).T
+    return batch, row, low, length, np.concatenate([hashes[at : at + n] for at, n in zip((offset[row] + low).tolist(), length.tolist())])
 
 
 def _run_starts(lengths: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,15 +125,14 @@ def _windows(batches: Iterator[pa.RecordBatch], *, width: int, least: int, funct
     The upper 48 bits of a key are the two minima. The lower 16 are the other functions' minima in the
     run whose middle is the place, or the nearest one of the stretch.
     """
-    seeds, hashes, run_words, pairs = _seeds(functions), WordHashes(), least + width - 1, ring(functions)
-    for batch, held in _parts(batches, run_words):
-        lengths = np.array([len(tokens) for _, _, tokens in held], dtype=np.int64)
-        grams = shingles(hashes.of(list(itertools.chain.from_iterable(tokens for _, _, tokens in held))), width)
+    seeds, run_words, pairs = _seeds(functions), least + width - 1, ring(functions)
+    for batch, row, low, lengths, hashes in _parts(batches, run_words):
+        grams = shingles(hashes, width)
         starts, owner, offset = _run_starts(lengths, run_words)
-        base = offset - np.array([low for _, low, _ in held], dtype=np.int64)  # what makes a place one of the text
+        base = offset - low  # what makes a place one of the text
         found = [sliding_minima(mixed(grams ^ seed), least) for seed in seeds]
-        lows = [low[starts] for _, low in found]
-        moved = [low[1:] != low[:-1] for low in lows]
+        lows = [values[starts] for _, values in found]
+        moved = [values[1:] != values[:-1] for values in lows]
         other_part = owner[1:] != owner[:-1]
         columns: list[pa.Array] = []
         for i, j in pairs:
@@ -141,10 +146,10 @@ def _windows(batches: Iterator[pa.RecordBatch], *, width: int, least: int, funct
                     ctx = mixed(ctx ^ found[k][1][middle])
             key = mixed(mixed(lows[i][edge] + np.uint64(functions * i + j + 1)) ^ lows[j][edge])
             key = (key & ~np.uint64(0xFFFF)) | (ctx & np.uint64(0xFFFF))
-            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(held)))]).astype(np.int32))
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(row)))]).astype(np.int32))
             shift = base[whose]
             columns += [pa.ListArray.from_arrays(cuts, pa.array(values)) for values in (key.view(np.int64), _packed(first - shift, last - shift, place - shift))]
-        docs = batch.column("doc").take(pa.array([row for row, _, _ in held]))
+        docs = batch.column("doc").take(pa.array(row))
         yield pa.RecordBatch.from_arrays([docs, *columns], ["doc", *(f"{c}{k}" for k in range(len(pairs)) for c in ("key", "at"))])
 
 
@@ -250,19 +255,30 @@ def _candidates(batches: Iterator[pa.RecordBatch], *, least: int, reach: int) ->
         yield _rows(rows, _CANDIDATE)
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each item of a list column, and the items."""
+    return np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy()), column.flatten()
+
+
 def _cuts(batches: Iterator[pa.RecordBatch], *, width: int) -> Iterator[pa.RecordBatch]:
-    """The words of each text that its candidates need, from their first shingle to their last."""
-    kinds = [*[pa.int64()] * len(_CANDIDATE), pa.int32(), pa.int64(), pa.binary()]
+    """The part of each text that its candidates need, from the first word of their first shingle to the last of their last."""
+    names = [*_CANDIDATE, "side", "at", "words"]
     for batch in slices(batches):
-        rows = []
-        for raw, asked in zip(raw_texts(batch.column("text")), batch.column("asked").to_pylist()):
-            tokens = words(raw)
-            rows += [(*(x[c] for c in _CANDIDATE), x["side"], x["at"], b" ".join(tokens[x["at"] : x["stop"] + width - 1])) for x in asked]
-            if sum(len(row[-1]) for row in rows[-len(asked) :]) > SLICE_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [*_CANDIDATE, "side", "at", "words"])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [*_CANDIDATE, "side", "at", "words"])
+        held, edges, starts, counts = word_starts(batch.column("text"))
+        of, asked = _lists(batch.column("asked"))
+        fields = dict(zip((f.name for f in asked.type), asked.flatten()))
+        offset = np.cumsum(counts) - counts
+
+        def bytes_before(word: np.ndarray) -> np.ndarray:
+            past = word >= counts[of]
+            return np.where(past, edges[of + 1], np.append(starts, 0)[np.where(past, 0, offset[of] + word)])
+
+        low = bytes_before(fields["at"].to_numpy())
+        high = np.maximum(low, bytes_before(fields["stop"].to_numpy() + width - 1))
+        part = np.cumsum(high - low) // SLICE_BYTES
+        for k in np.split(np.arange(len(of)), np.flatnonzero(np.diff(part)) + 1):
+            here = pa.array([held[x:y].tobytes() for x, y in zip(low[k].tolist(), high[k].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(fields[c].slice(k[0], len(k)) for c in names[:-1]), here], names)
 
 
 def matched(here: np.ndarray, there: np.ndarray, shift: float, slack: float) -> np.ndarray:
@@ -353,18 +369,17 @@ def _similar_spans(found: np.ndarray, lengths: np.ndarray, least: int, similarit
 _SPAN = ["doc", "partner", "start", "end"]
 
 
-def _cut_grams(cuts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _cut_grams(cuts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of several cuts put together, and how many each has."""
-    lengths = np.array([cut.count(b" ") + 1 if cut else 0 for cut in cuts], dtype=np.int64)
+    hashes, lengths = word_hashes(cuts.combine_chunks())
     if lengths.min() < width:
-        each = [shingles(hashes.of(cut.split()), width) for cut in cuts]
+        each = [shingles(x, width) for x in np.split(hashes, np.cumsum(lengths)[:-1])]
         return np.concatenate(each), np.array([len(x) for x in each])
-    grams = shingles(hashes.of(b" ".join(cuts).split()), width)
+    grams = shingles(hashes, width)
     return grams[_run_starts(lengths, width)[0]], lengths - width + 1
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], *, width: int, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for table, edges in groups.whole_runs(batches, _CANDIDATE):
         a, b, low, high, at = (table[c].to_numpy() for c in ("a", "b", "low", "high", "at"))
         first, second = edges[:-1], edges[1:] - 1
@@ -375,7 +390,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], *, width: int, least: int, simil
         part = np.cumsum(sizes[first] + sizes[second]) // _CONFIRM_BYTES
         for k in np.split(np.arange(len(first)), np.flatnonzero(np.diff(part)) + 1):
             i, j = first[k], second[k]
-            (here, here_lengths), (there, there_lengths) = (_cut_grams(cuts.take(pa.array(x)).to_pylist(), hashes, width) for x in (i, j))
+            (here, here_lengths), (there, there_lengths) = (_cut_grams(cuts.take(pa.array(x)), width) for x in (i, j))
             shift, slack = (low[i] + high[i]) / 2 - at[i] + at[j], (high[i] - low[i]) / 2 + least // 4
             of, start, end = _similar_spans(_matched(here, here_lengths, there, there_lengths, shift, slack), here_lengths, least, similarity)
             if not len(of):
@@ -439,26 +454,22 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 def _exact_runs(batches: Iterator[pa.RecordBatch], *, width: int, least: int) -> Iterator[pa.RecordBatch]:
     """The key of every run that a text's stretches (list at) hold."""
-    hashes, run_words = WordHashes(), least + width - 1
     for batch in slices(batches):
-        keys, docs, places = [], [], []
-        for doc, raw, at in zip(batch.column("doc").to_pylist(), raw_texts(batch.column("text")), batch.column("at")):
-            grams = shingles(hashes.of(words(raw)), width)
-            at = at.values.to_numpy()
-            first = at >> _FIRST_BITS
-            wanted = np.zeros(len(grams) - least + 2, dtype=np.int64)
-            np.add.at(wanted, first, 1)
-            np.add.at(wanted, first + ((at & ((1 << _FIRST_BITS) - 1)) >> _LAST_BITS) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
-            # A polynomial of the run's shingles: the difference of two running sums, each term scaled back by its place.
-            scale, back = (np.multiply.accumulate(np.full(len(grams) + 1, x, dtype=np.uint64)) for x in (_BASE, _INVERSE))
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(grams * back[:-1], dtype=np.uint64)])
-            value = (total[least:] - total[:-least]) * scale[: len(total) - least]
-            keys.append(mixed(value[starts]).view(np.int64))
-            places.append(starts)
-            docs.append(np.full(len(starts), doc, dtype=np.int64))
-        places = np.concatenate(places)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs)), pa.array(_packed(places, places, places))], _ROW)
+        hashes, counts = word_hashes(batch.column("text"))
+        grams, offset = shingles(hashes, width), np.cumsum(counts) - counts
+        of, at = _lists(batch.column("at"))
+        at = at.to_numpy()
+        first = offset[of] + (at >> _FIRST_BITS)
+        last = first + ((at & ((1 << _FIRST_BITS) - 1)) >> _LAST_BITS)
+        wanted = np.bincount(first, minlength=len(hashes) + 1) - np.bincount(last + 1, minlength=len(hashes) + 1)
+        starts = np.flatnonzero(np.cumsum(wanted) > 0)
+        # A polynomial of the run's shingles: the difference of two running sums, each term scaled back by its place.
+        scale, back = (np.multiply.accumulate(np.full(len(grams) + 1, x, dtype=np.uint64)) for x in (_BASE, _INVERSE))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(grams * back[:-1], dtype=np.uint64)])
+        keys = mixed((total[starts + least] - total[starts]) * scale[starts]).view(np.int64)
+        of = np.searchsorted(offset, starts, "right") - 1
+        places = starts - offset[of]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("doc").take(pa.array(of)), pa.array(_packed(places, places, places))], _ROW)
 
 
 def _disputed(links: DataFrame, found: DataFrame, width: int) -> DataFrame:
@@ -476,25 +487,31 @@ def _disputed(links: DataFrame, found: DataFrame, width: int) -> DataFrame:
 
 def _surroundings(batches: Iterator[pa.RecordBatch], *, width: int, least: int) -> Iterator[pa.RecordBatch]:
     """32 bits of each shingle from `reach` before a stretch's minimum to `reach` after it, 0 beyond the text."""
-    hashes, reach = WordHashes(), least + least // 4
+    reach = least + least // 4
     for batch in slices(batches):
-        for doc, raw, asked in zip(batch.column("doc"), raw_texts(batch.column("text")), batch.column("asked")):
-            group, at = (asked.values.field(k).to_numpy() for k in (0, 1))
-            grams = (shingles(hashes.of(words(raw)), width) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            edge = np.zeros(reach, dtype=np.uint32)
-            padded, place = np.concatenate([edge, grams, edge]), (at >> _FIRST_BITS) + (at & ((1 << _LAST_BITS) - 1))
-            for low in range(0, len(at), 1 << 11):
-                here = slice(low, low + (1 << 11))
-                around = padded[place[here, None] + np.arange(2 * reach + 1)]
-                cuts = pa.py_buffer((np.arange(len(around) + 1) * around.itemsize * around.shape[1]).astype(np.int32))
-                packed = pa.Array.from_buffers(pa.binary(), len(around), [None, cuts, pa.py_buffer(around.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(group[here]), pa.array(np.full(len(around), doc.as_py())), pa.array(at[here]), packed], ["group", "doc", "at", "grams"])
+        hashes, counts = word_hashes(batch.column("text"))
+        grams = (shingles(hashes, width) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        starts, owner, _ = _run_starts(counts, width)
+        padded = np.zeros(len(hashes) + reach * (len(counts) + 1), dtype=np.uint32)
+        padded[starts + reach * (owner + 1)] = grams[starts]
+        of, asked = _lists(batch.column("asked"))
+        group, at = asked.flatten()
+        docs, packed = batch.column("doc").take(pa.array(of)), at.to_numpy()
+        place = (np.cumsum(counts) - counts + reach * np.arange(len(counts)))[of] + (packed >> _FIRST_BITS) + (packed & ((1 << _LAST_BITS) - 1))
+        for low in range(0, len(at), 1 << 11):
+            around = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)[place[low : low + (1 << 11)]])
+            cuts = pa.py_buffer((np.arange(len(around) + 1) * around.itemsize * around.shape[1]).astype(np.int32))
+            found = pa.Array.from_buffers(pa.binary(), len(around), [None, cuts, pa.py_buffer(around)])
+            yield pa.RecordBatch.from_arrays([*(x.slice(low, len(around)) for x in (group, docs, at)), found], ["group", "doc", "at", "grams"])
 
 
 def _dense(common: np.ndarray, least: int, needed: int) -> np.ndarray:
     """Which rows have `needed` places in some run of `least`."""
-    total = np.cumsum(common, axis=1, dtype=np.int16)
-    return (total[:, least - 1] >= needed) | (total[:, least:] - total[:, :-least] >= needed).any(axis=1)
+    out = np.add.reduce(common, axis=1, dtype=np.int16) >= needed
+    if out.any():
+        total = np.add.accumulate(common[out].T.astype(np.int16), axis=0)
+        out[out] = (total[least - 1] >= needed) | (total[least:] - total[:-least] >= needed).any(axis=0)
+    return out
 
 
 def meeting(grams: np.ndarray, docs: np.ndarray, least: int, needed: int) -> list[tuple[int, int]]:
@@ -502,34 +519,47 @@ def meeting(grams: np.ndarray, docs: np.ndarray, least: int, needed: int) -> lis
 
     A row without so many values in a run that any other row has is out; the rest are compared with all rows of other classes.
     """
+    values, grams = np.unique(grams, return_inverse=True)
+    grams = grams.reshape(len(docs), -1).astype(np.int32)  # numbers of the values
+    held = np.sort(grams, axis=1)
+    once = np.concatenate([np.ones((len(held), 1), dtype=bool), held[:, 1:] != held[:, :-1]], axis=1)
+    beyond = bool(len(values)) and values[0] == 0
     alive = np.arange(len(grams))
     while len(alive) > 1:
-        values, of = np.unique(grams[alive], return_inverse=True)
-        of = of.reshape(len(alive), -1)
-        held = np.sort(of, axis=1)
-        counts = np.bincount(held[np.concatenate([np.ones((len(held), 1), dtype=bool), held[:, 1:] != held[:, :-1]], axis=1)], minlength=len(values))
-        counts[values == 0] = 0
-        keep = _dense(counts[of] > 1, least, needed)
+        counts = np.bincount(held[alive][once[alive]], minlength=len(values))
+        if beyond:
+            counts[0] = 0
+        keep = _dense((counts > 1)[grams[alive]], least, needed)
         if keep.all():
             break
         alive = alive[keep]
     if len(alive) < 2:
         return []
     grams, docs, out = grams[alive], docs[alive], []
-    known, classes = grams != 0, np.arange(len(alive))
+    if beyond:
+        grams[grams == 0] = -1  # the last of `has`, which is never set
+    has, classes = np.zeros(len(values) + 1, dtype=bool), np.arange(len(alive))
+    known = grams >= 0
     for row in range(len(alive)):
-        others = np.flatnonzero(classes != classes[row])
-        if not len(others):
+        others = classes != classes[row]
+        if not others.any():
             break
-        others = others[docs[others] != docs[row]]
+        others = np.flatnonzero(others & (docs != docs[row]))
         sure = _dense((grams[others] == grams[row]) & known[row], least, needed)
-        joined, first = np.unique(classes[others[sure]], return_index=True)
-        out += [(row, int(k)) for k in others[sure][first]]
+        joined = np.zeros(len(alive), dtype=bool)
+        if sure.any():
+            met = others[sure]
+            of, first = np.unique(classes[met], return_index=True)
+            out += [(row, k) for k in met[first].tolist()]
+            joined[of] = True
         rest = others[~sure & (others > row)]
-        rest = rest[~np.isin(classes[rest], joined)]
+        rest = rest[~joined[classes[rest]]]
         if len(rest):
-            out += [(row, int(k)) for k in rest[_dense(np.isin(grams[rest], grams[row]) & known[rest], least, needed)]]
-        classes[np.isin(classes, joined)] = classes[row]
+            has[grams[row]] = True
+            has[-1] = False
+            out += [(row, k) for k in rest[_dense(has[grams[rest]], least, needed)].tolist()]
+            has[grams[row]] = False
+        classes[joined[classes]] = classes[row]
     return [(int(alive[a]), int(alive[b])) for a, b in out]
 
 
@@ -622,4 +652,4 @@ def _of_documents(known: DataFrame, texts: DataFrame, found: DataFrame, *, min_w
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([len(words(raw)) for raw in raw_texts(batch.column("text"))], pa.int64())], ["doc", "n_words"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(word_starts(batch.column("text"))[3])], ["doc", "n_words"])

@@ -57,6 +57,58 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return mixed(value)
 
 
+#: Bytes hashed at once, and the most bytes of a word that are hashed together with others; a longer word is hashed by itself.
+_BLOCK, _LONG = 1 << 16, 127
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _BACK = (np.multiply.accumulate(np.full(_BLOCK + _LONG + 1, x, dtype=np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+_IS_WORD = np.frombuffer(WORD_TABLE, dtype=np.uint8) != 0x20
+_LETTERS = np.where(_IS_WORD, mixed((np.frombuffer(WORD_TABLE, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) << np.uint64(40)), np.uint64(0))
+
+
+def word_starts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a string or binary column: its bytes, where each text starts in them (and the last ends), where each word starts, and the words of each text."""
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = np.frombuffer(data, dtype=np.uint8)[edges[0] : edges[-1]] if data else np.zeros(0, dtype=np.uint8)
+    edges = edges - edges[0]
+    inside = _IS_WORD[held]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = edges[:-1][edges[:-1] < len(held)]
+    begins[first] = inside[first]
+    starts = np.flatnonzero(begins)
+    return held, edges, starts, np.diff(np.searchsorted(starts, edges))
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a string or binary column, in text order, and how many each text has.
+
+    A word is a polynomial of its letters' numbers, made of the bytes of many words at once.
+    """
+    held, edges, starts, counts = word_starts(column)
+    out = np.empty(len(starts), dtype=np.uint64)
+    low = 0
+    while low < len(starts):
+        high = int(np.searchsorted(starts, starts[low] + _BLOCK))
+        at = starts[low:high] - starts[low]
+        stop = min(int(starts[high]) if high < len(starts) else len(held), int(starts[high - 1]) + _LONG + 1)
+        values = _LETTERS[held[starts[low] : stop]]
+        values *= _POWERS[: len(values)]
+        out[low:high] = np.add.reduceat(values, at) * _BACK[at]
+        low = high
+    out = mixed(out)
+    ends = np.append(starts[1:], len(held))
+    for k in np.flatnonzero(ends - starts > _LONG):
+        text_end = int(edges[np.searchsorted(edges, starts[k], "right")])
+        word = words(held[starts[k] : min(int(ends[k]), text_end)].tobytes())[0]
+        if len(word) > _LONG:
+            out[k] = xxhash.xxh3_64_intdigest(word)
+    return out, counts
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
